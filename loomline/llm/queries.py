@@ -5,10 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.mixing import Mix
+from loomline.llm.packing import fill_containers, fill_report
 from loomline.llm.spans import SharedSpans
 from loomline.sources.tables import table
 
 
+def _capacities(spark: SparkSession, base: str) -> list[int]:
+    """The container sizes that size_limits names for documents: a few rows."""
+    limits = table(spark, base, "size_limits").where("applies_to = 'documents' AND unit = 'tokens'")
+    return [r["max_size"] for r in limits.select("max_size").distinct().collect()]
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that the largest container can't hold, so that packing divides them."""
+    docs = table(spark, base, "documents", ["doc_id", "text"])
+    packed = fill_containers(docs, "doc_id", "text", [max(_capacities(spark, base))])
+    return packed.where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p6_packed(spark: SparkSession, base: str) -> DataFrame:
+    """Containers of every capacity, by document and piece."""
+    return fill_containers(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", _capacities(spark, base))
+
+
+def p6_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return fill_report(p6_packed(spark, base))
+
+
+def _mix(spark: SparkSession, base: str) -> Mix:
+    return Mix(table(spark, base, "documents", ["doc_id", "text", "source"]), table(spark, base, "mix_targets"), "doc_id", "text", "source")
+
+
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of each mix in the order of their virtual finish times."""
+    return _mix(spark, base).selection()
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The shares each mix reached beside those it aimed at."""
+    return _mix(spark, base).shares()
+
+
 def _shared(spark: SparkSession, base: str) -> SharedSpans:
     return SharedSpans(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", min_chars=200)
 
@@ -28,6 +67,6 @@ def p8_passages(spark: SparkSession, base: str) -> DataFrame:
     return _shared(spark, base).passages().withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
+QUERIES = {"p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
 
 SQL: dict[str, str] = {}
