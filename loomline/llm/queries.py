@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.canonical import canonical_column, equal_looking_pairs
 from loomline.llm.mixing import Mix
 from loomline.llm.packing import fill_containers, fill_report
 from loomline.llm.spans import SharedSpans
 from loomline.sources.tables import table
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of lines of one speaker whose texts differ but look the same."""
+    lines = table(spark, base, "segments", ["seg_id", "media_id", "speaker_id", "text", "translated_text"])
+    pairs = equal_looking_pairs(lines, "seg_id", ["media_id", "speaker_id"], ["text", "translated_text"])
+    return pairs.select(F.col("id_a").alias("seg_id_a"), F.col("id_b").alias("seg_id_b"), "field")
+
+
+def p5_canonical(spark: SparkSession, base: str) -> DataFrame:
+    """Every line with both texts in one form."""
+    lines = table(spark, base, "segments", ["seg_id", "text", "translated_text"])
+    return lines.select("seg_id", canonical_column(F.col("text")).alias("text"), canonical_column(F.col("translated_text")).alias("translated_text"))
+
+
 def _capacities(spark: SparkSession, base: str) -> list[int]:
     """The container sizes that size_limits names for documents: a few rows."""
     limits = table(spark, base, "size_limits").where("applies_to = 'documents' AND unit = 'tokens'")
@@ -67,6 +81,6 @@ def p8_passages(spark: SparkSession, base: str) -> DataFrame:
     return _shared(spark, base).passages().withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {"p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
+QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
 
 SQL: dict[str, str] = {}
