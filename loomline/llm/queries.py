@@ -9,9 +9,24 @@ from loomline.llm.canonical import canonical_column, equal_looking_pairs
 from loomline.llm.mixing import Mix
 from loomline.llm.packing import fill_containers, fill_report
 from loomline.llm.spans import SharedSpans
+from loomline.llm.splitting import split_rows
 from loomline.sources.tables import table
 
 
+def _pieces(spark: SparkSession, base: str) -> DataFrame:
+    return split_rows(table(spark, base, "segments", ["seg_id", "text", "words"]), "seg_id", "text", "words", limit=280, overlap=5)
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Lines that had to be split, and whether their sentences allow it."""
+    return _pieces(spark, base).where("size > 280").select("seg_id", "breakable").distinct()
+
+
+def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """Every line in pieces of at most 280 characters."""
+    return _pieces(spark, base)
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of lines of one speaker whose texts differ but look the same."""
     lines = table(spark, base, "segments", ["seg_id", "media_id", "speaker_id", "text", "translated_text"])
@@ -81,6 +96,6 @@ def p8_passages(spark: SparkSession, base: str) -> DataFrame:
     return _shared(spark, base).passages().withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
 
 SQL: dict[str, str] = {}
