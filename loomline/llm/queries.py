@@ -10,9 +10,21 @@ from loomline.llm.mixing import Mix
 from loomline.llm.packing import fill_containers, fill_report
 from loomline.llm.spans import SharedSpans
 from loomline.llm.splitting import split_rows
+from loomline.llm.transcripts import Transcripts
 from loomline.sources.tables import table
 
 
+def p2_turns(spark: SparkSession, base: str) -> DataFrame:
+    """Clean speaker turns of every media item, with their text."""
+    lines = table(spark, base, "transcripts", ["line_id", "media_id", "start_s", "end_s", "speaker_id", "text"])
+    return Transcripts(lines).turns()
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """Clean speaker turns of every media item."""
+    return p2_turns(spark, base).select("media_id", "turn_no", "speaker_id", "from_ms", "to_ms", "n_words")
+
+
 def _pieces(spark: SparkSession, base: str) -> DataFrame:
     return split_rows(table(spark, base, "segments", ["seg_id", "text", "words"]), "seg_id", "text", "words", limit=280, overlap=5)
 
@@ -96,6 +108,6 @@ def p8_passages(spark: SparkSession, base: str) -> DataFrame:
     return _shared(spark, base).passages().withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
+QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
 
 SQL: dict[str, str] = {}

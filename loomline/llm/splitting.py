@@ -27,14 +27,14 @@ ABBREVIATIONS = frozenset("dr dra prof profa mr mrs ms mx st ste jr sen gov gen
 #: Abbreviations only before a number, fixed values.
 BEFORE_NUMBER = frozenset("no nr nos num núm nº n° art abs kap cap p pp s bd vol fig tab № стр гл п ст".split())
 
-_INVISIBLE = "­​-‏⁠﻿"
+_INVISIBLE = "\u00ad\u200b-\u200f\u2060\ufeff"
 _END = re.compile(f"(?P<mark>[{re.escape(FINAL + FINAL_UNSPACED)}][{re.escape(FINAL + FINAL_UNSPACED)}{_INVISIBLE}]*)(?P<close>[{re.escape(CLOSERS)}{_INVISIBLE}]*)")
 _BEFORE = re.compile(r"[^\s(\[«“\"'¿¡]+$")
-_UNSPACED = "぀-ヿ㐀-鿿ｦ-ﾟ฀-๿"
+_UNSPACED = "\u3040-ヿ㐀-鿿ｦ-ﾟ\u0e00-\u0e7f"
 #: Words: runs between spaces; in unspaced script a run of kanji or katakana with the hiragana behind it.
-_WORD = re.compile(f"[㐀-鿿々〆]+[぀-ゟ]*|[゠-ヿｦ-ﾟ]+[぀-ゟ]*|[぀-ゟ]+|[฀-๿]+|[^\\s{_UNSPACED}]+")
+_WORD = re.compile(f"[㐀-鿿々〆]+[\u3040-ゟ]*|[゠-ヿｦ-ﾟ]+[\u3040-ゟ]*|[\u3040-ゟ]+|[\u0e00-\u0e7f]+|[^\\s{_UNSPACED}]+")
 _LETTERS = re.compile(r"\w+")
-_MARK = re.compile("[̀-ͯ‍️ﾞﾟ\udc00-\udfff]")
+_MARK = re.compile("[̀-ͯ\u200d️ﾞﾟ\udc00-\udfff]")
 
 
 def sentence_ends(text: str) -> list[int]:
