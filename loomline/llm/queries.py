@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.canonical import canonical_column, equal_looking_pairs
+from loomline.llm.languages import fit_on, label_languages
 from loomline.llm.mixing import Mix
 from loomline.llm.packing import fill_containers, fill_report
 from loomline.llm.spans import SharedSpans
@@ -14,6 +15,24 @@ from loomline.llm.transcripts import Transcripts
 from loomline.sources.tables import table
 
 
+def p1_languages(spark: SparkSession, base: str) -> DataFrame:
+    """Language and confidence of every line and document, and of each piece of a mixed one."""
+    lines = table(spark, base, "segments", ["seg_id", "text", "detected_language"])
+    docs = table(spark, base, "documents", ["doc_id", "text", "lang"])
+    model = fit_on(lines, "seg_id", "text", "detected_language")
+    a = label_languages(lines.withColumnRenamed("seg_id", "rec_id"), model, "rec_id", "text", "detected_language")
+    b = label_languages(docs.withColumnRenamed("doc_id", "rec_id"), model, "rec_id", "text", "lang")
+    return a.withColumn("tbl", F.lit("segments")).unionByName(b.withColumn("tbl", F.lit("documents")))
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Records whose label is missing or wrong, and the pieces of mixed ones."""
+    every = p1_languages(spark, base).where("language IS NOT NULL")
+    wrong = F.col("label_language").isNull() | (F.col("label_language") != F.col("language"))
+    cases = every.where((F.col("piece") > 0) | (wrong & (F.col("n_letters") >= 20)))
+    return cases.select("tbl", "rec_id", "piece", F.col("language").alias("lang_code"))
+
+
 def p2_turns(spark: SparkSession, base: str) -> DataFrame:
     """Clean speaker turns of every media item, with their text."""
     lines = table(spark, base, "transcripts", ["line_id", "media_id", "start_s", "end_s", "speaker_id", "text"])
@@ -108,6 +127,6 @@ def p8_passages(spark: SparkSession, base: str) -> DataFrame:
     return _shared(spark, base).passages().withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
 
 SQL: dict[str, str] = {}
