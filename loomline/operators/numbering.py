@@ -1,0 +1,38 @@
+"""Whole numbers for rows in a global order, without one task for all rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from loomline.session import pinned
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, first: int = 1) -> DataFrame:
+    """``df`` with the place of each row by ``order``, which must be total, from ``first``.
+
+    Rows are range-sorted; one count a partition is collected and added up.
+    """
+    ranged = pinned(df.repartitionByRange(*order).sortWithinPartitions(*order))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = sum(map(len, batches))
+        yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "n": [n]})
+
+    sizes = {r["pid"]: r["n"] for r in ranged.select(order[0]).mapInPandas(count, "pid int, n long").collect()}  # one row a partition
+    before, total = {}, first
+    for pid in sorted(sizes):
+        before[pid], total = total, total + sizes[pid]
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = before.get(TaskContext.get().partitionId(), first)
+        for pdf in batches:
+            yield pdf.assign(**{name: np.arange(at, at + len(pdf))})
+            at += len(pdf)
+
+    schema = ranged.schema.simpleString()[len("struct<") : -1]
+    return ranged.mapInPandas(label, f"{schema},{name}:bigint")
