@@ -124,7 +124,7 @@ def related_series(series: DataFrame, episodes: DataFrame, limit: int = 20) -> D
     makes a bounded number of rows a series.
     """
     every = series_with_episodes(series, episodes)
-    first = every.select("id", F.element_at(genre_tokens(F.col("genre")), 1).alias("genre_key")).where("genre_key IS NOT NULL")
+    first = every.select("id", F.get(genre_tokens(F.col("genre")), F.lit(0)).alias("genre_key")).where("genre_key IS NOT NULL")
     tokens = every.withColumn("genre_key", F.explode(F.array_distinct(genre_tokens(F.col("genre")))))
     w = Window.partitionBy("genre_key").orderBy(*order_of("popular"))
     top = tokens.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit + 1).select("genre_key", F.col("id").alias("related_id"), "place")
