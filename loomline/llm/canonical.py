@@ -56,7 +56,7 @@ _UNSTABLE = re.compile(f"[^\\s{MARKS}]?[{MARKS}]+|[{_CLASS}]")
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 _CYRILLIC = re.compile("[Ѐ-ԯ]")
 _GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
-_WORD = re.compile("[^\\W\\d_]+(?:'[^\\W\\d_]+)*")
+_WORD = re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{MARKS}])*(?:'[^\\W\\d_](?:[^\\W\\d_]|[{MARKS}])*)*")
 
 
 def _wide(c: str) -> str:
@@ -126,6 +126,7 @@ def canonical(text: str | None) -> str | None:
         seen = _KANA_RUN.sub(_settle_kana, seen)
     if not (_CYRILLIC.search(seen) or _GREEK.search(seen)):
         return seen
+    seen = unicodedata.normalize("NFD", seen)  # a letter with an accent is judged by its base
     words = _WORD.findall(seen)
     own = [_own_script(w) for w in words]
     whole = tuple(map(sum, zip(*own))) if own else (1, 0, 0)
@@ -136,7 +137,7 @@ def canonical(text: str | None) -> str | None:
         script = mine.index(max(mine)) if any(mine) else default
         return _in_script(m.group(), script)
 
-    return _WORD.sub(settle, seen)
+    return unicodedata.normalize("NFC", _WORD.sub(settle, seen))
 
 
 _INVISIBLES = re.compile(f"[{INVISIBLE}]+")
@@ -152,7 +153,8 @@ def quick_check(text: Column) -> Column:
     forms = text.rlike(f"[{_java(INVISIBLE + SPACES + WIDE + LIGATURES + SINGLETONS + MARKS + KATAKANA_LIKE)}{_java(_SIGNS)}]")
     other = text.rlike("[\\x{370}-\\x{52f}\\x{1f00}-\\x{1fff}]")
     # one script only, and a letter that no other script has: every word stays as it is
-    plain = ~text.rlike("[A-Za-z\\x{c0}-\\x{24f}\\x{1e00}-\\x{1eff}]") & ((text.rlike("[\\x{400}-\\x{52f}&&[^" + _java(CYRILLIC) + "]]") & ~text.rlike("[\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]")))
+    doubled = CYRILLIC + "".join(c for c in map(chr, range(0x400, 0x530)) if unicodedata.normalize("NFD", c)[0] in CYRILLIC)
+    plain = ~text.rlike("[A-Za-z\\x{c0}-\\x{24f}\\x{1e00}-\\x{1eff}]") & ((text.rlike("[\\x{400}-\\x{52f}&&[^" + _java(doubled) + "]]") & ~text.rlike("[\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]")))
     return forms | (other & ~plain)
 
 

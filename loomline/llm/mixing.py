@@ -54,12 +54,12 @@ class Mix:
         """First pass: whole rounds through the sources, cut at the time limit; with the documents at the cut."""
         rounds = self.targets.where("weight > 0").join(self._buckets(), "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
         offset = (F.col("copy") - 1) * F.col("supply") + F.col("before")
-        rounds = rounds.select("mix", "source", "bucket", "copy", "weight", "until", offset.alias("offset")).where(F.col("offset") / F.col("weight") < F.col("until"))
+        rounds = rounds.select("mix", "source", "bucket", "copy", "weight", "until", offset.alias("offset")).where(F.col("offset") < F.col("until") * F.col("weight"))
         # only buckets that some mix reaches are sorted within
         reached = self.docs.withColumn("bucket", self.bucket).join(rounds.select("source", "bucket").distinct(), ["source", "bucket"], "left_semi")
         w = Window.partitionBy("source", "bucket").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, 0)
         placed = reached.withColumn("upto", F.sum("n_tokens").over(w))
-        return rounds.join(placed, ["source", "bucket"]).withColumn("finish", (F.col("offset") + F.col("upto")) / F.col("weight"))
+        return rounds.join(placed, ["source", "bucket"]).withColumn("finish", (F.col("offset") + F.col("upto")) / F.nullif(F.col("weight"), F.lit(0.0)))
 
     def _refill(self, left: DataFrame) -> DataFrame:
         """Later documents of the same round that fit what a document too large for it left open.
@@ -100,4 +100,4 @@ class Mix:
         every = self.targets.join(supply, "source", "left").join(got, ["mix", "source"], "left")
         w = Window.partitionBy("mix")
         own = F.coalesce("tokens", F.lit(0))
-        return every.select("mix", "source", F.round(F.col("weight") / F.sum("weight").over(w), 6).alias("target_share"), F.round(F.col("weight") * F.col("until"), 3).alias("target_tokens"), F.coalesce("supply_tokens", F.lit(0)).alias("supply_tokens"), "max_repeats", own.alias("tokens"), F.round(own / F.col("total_tokens"), 6).alias("share_of_total"), F.round(own / F.nullif(F.sum(own).over(w), F.lit(0)), 6).alias("share_reached"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+        return every.select("mix", "source", F.round(F.col("weight") / F.nullif(F.sum("weight").over(w), F.lit(0.0)), 6).alias("target_share"), F.round(F.col("weight") * F.col("until"), 3).alias("target_tokens"), F.coalesce("supply_tokens", F.lit(0)).alias("supply_tokens"), "max_repeats", own.alias("tokens"), F.round(own / F.nullif(F.col("total_tokens"), F.lit(0)), 6).alias("share_of_total"), F.round(own / F.nullif(F.sum(own).over(w), F.lit(0)), 6).alias("share_reached"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))

@@ -346,4 +346,7 @@ class SharedSpans:
         exact = self.spans().groupBy("cls_a", "cls_b", "chain").agg(F.sum("length").alias("exact_chars"))
         rep = self.members.groupBy("cls").agg(F.min("id").alias("id"))
         a, b = (rep.select(F.col("cls").alias(f"cls_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-        return one.join(exact, ["cls_a", "cls_b", "chain"], "left").join(a, "cls_a").join(b, "cls_b").select("id_a", "id_b", "chain", F.round("score", 3).alias("score"), "n_seeds", "a_from", "a_to", "b_from", "b_to", F.coalesce("exact_chars", F.lit(0)).alias("exact_chars"))
+        both = one.join(exact, ["cls_a", "cls_b", "chain"], "left").join(a, "cls_a").join(b, "cls_b")
+        turned = F.col("id_a") > F.col("id_b")
+        sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("id_a", "id_b"), ("id_b", "id_a"), ("a_from", "b_from"), ("a_to", "b_to"), ("b_from", "a_from"), ("b_to", "a_to"))]
+        return both.select(*sides, "chain", F.round("score", 3).alias("score"), "n_seeds", F.coalesce("exact_chars", F.lit(0)).alias("exact_chars")).select("id_a", "id_b", "chain", "score", "n_seeds", "a_from", "a_to", "b_from", "b_to", "exact_chars")

@@ -27,8 +27,8 @@ from loomline.session import pinned, stored
 
 # Hesitation sounds with repeated letters written once, of any language ...
 HESITATIONS = frozenset("uhm erm hm mhm euh heu ehm ähm äh öhm öh ãh ahn hã uh eh эм хм э-э э-э-э えと えーと えっと ええと うーん んー あのー".split())
-#: ... those that are words elsewhere, with the languages in which they are sounds ...
-HESITATIONS_IN = {"um": ("en",), "er": ("en",)}
+#: ... those that are words elsewhere, with the languages in which they are sounds (None: unknown) ...
+HESITATIONS_IN = {"um": ("en", "other", None), "er": ("en", None)}
 #: ... and letters that make a sound only when drawn out.
 DRAWN = frozenset("meiıэмe")
 # Frequent small words that tell these languages apart.
@@ -229,7 +229,7 @@ class Transcripts:
 
     ``df``: line_id, media_id, start_s, end_s, speaker_id, text; extra columns are ignored.
     A line delivered again (same media_id and bounds) counts once; of the copies that one is
-    taken whose speaker is known, then the first to arrive. Bounds that are missing are those
+    taken whose speaker is known, then the first to arrive; repeated rows are one. Bounds that are missing are those
     of the cue in the text, else its first recording time; a line without any is left out. The
     speaker is that of the label in the text, else that of the column; a line with neither
     belongs to the speaker before it. A name's number in a media item is the one that most of its
@@ -307,7 +307,7 @@ class Transcripts:
         # a line delivered again counts once
         lines = said.groupBy("media_key", "from_ms", "to_ms", "line_id").agg(F.max(F.when((F.col("part") == 0) & F.col("speaker").isNotNull(), 1).otherwise(0)).alias("known"))
         one = lines.groupBy("media_key", "from_ms", "to_ms").agg(F.min_by("line_id", F.struct(-F.col("known"), "line_id")).alias("line_id"))
-        return said.join(one, ["media_key", "from_ms", "to_ms", "line_id"])
+        return said.join(one, ["media_key", "from_ms", "to_ms", "line_id"]).dropDuplicates(["media_key", "line_id", "part"])
 
     def ordered(self) -> DataFrame:
         """Parts with their turn_no, from 1 in each media item."""
