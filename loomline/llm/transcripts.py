@@ -126,11 +126,11 @@ def label_evidence(text: str) -> list[tuple[str, bool, str]]:
 
 
 def votes(text: str) -> str | None:
-    """Which of the languages whose hesitations differ a line's small words speak for."""
+    """Which of the languages whose hesitations differ a line's small words speak for; two of them are needed."""
     words = re.findall(r"\w+", text.lower())
     score = {lang: sum(w in small for w in words) for lang, small in SMALL_WORDS.items()}
     best = max(score, key=score.get)
-    return best if score[best] and list(score.values()).count(score[best]) == 1 else None
+    return best if score[best] > 1 and list(score.values()).count(score[best]) == 1 else None
 
 
 def _drawn_out(word: str) -> str:
