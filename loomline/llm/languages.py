@@ -364,9 +364,13 @@ def identify(model: Model, texts: list[str | None], change: float = CHANGE, clea
 
 def sample(df: DataFrame, id: str, text: str, label: str, rows: int = 12_000) -> tuple[list[str], list[str]]:
     """Labelled rows to fit on, at most ``rows`` of them, taken by a hash of the id: the one bounded sample here."""
-    t = F.col(f"`{text}`")
-    named = df.select(F.col(f"`{id}`").alias("id"), t.alias("text"), label_column(F.col(f"`{label}`")).alias("label")).where("label IS NOT NULL AND length(text) BETWEEN 20 AND 2000")
-    got = named.orderBy(F.xxhash64("id"), "id", "text").limit(rows).select("text", "label").collect()
+    t, code = F.col(f"`{text}`"), label_column(F.col(f"`{label}`"))
+    # a threshold on the hash first, so that each partition sends its part of the sample and no more
+    n = df.where(code.isNotNull()).count()
+    named = df.select(F.col(f"`{id}`").alias("id"), t.alias("text"), code.alias("label"), F.xxhash64(F.col(f"`{id}`")).alias("u")).where("label IS NOT NULL AND length(text) BETWEEN 20 AND 2000")
+    if n > 2 * rows:
+        named = named.where(F.col("u") < int(-(2**63) + 2**64 * min(1.0, 1.5 * rows / n)))
+    got = named.orderBy("u", "id", "text").limit(rows).select("text", "label").collect()
     return [r["text"] for r in got], [r["label"] for r in got]
 
 
