@@ -14,12 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomline.session import pinned
+from loomline.operators.scan import carried, key_text
 
 
 @dataclass
@@ -90,49 +88,27 @@ def periods_and_gaps(df: DataFrame, by: Sequence[str], start: str, end: str, par
     other. Repeated rows change nothing; an empty table gives an empty result. Extra
     columns are ignored.
     """
-    spark = df.sparkSession
     n = len(by)
-    types = [df.schema[c].dataType for c in by]
     s, e = F.col(f"`{start}`").cast("double"), F.col(f"`{end}`").cast("double")
-    # a null key travels as a pair (is null, empty text), as text, so that keys compare plainly
-    keys = [F.when(F.col(f"`{c}`").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string"))).alias(f"_k{i}") for i, c in enumerate(by)]
+    keys = [key_text(F.col(f"`{c}`")).alias(f"_k{i}") for i, c in enumerate(by)]
     rows = df.select(*keys, s.alias("_s"), e.alias("_e")).where("_e > _s AND NOT isnan(_s) AND NOT isnan(_e)")
-    order = [f"_k{i}" for i in range(n)] + ["_s"]
-    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    ranged = pinned(ranged.sortWithinPartitions(*order))
 
-    def row_of(state: Open) -> dict:
-        return {**{f"_k{i}": [k] for i, k in enumerate(state.entity)}, "_s": [state.start], "_e": [state.end]}
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summarise(batches: Iterator[pd.DataFrame]) -> Open | None:
         state = None
         for _, state in _scan(batches, n, None, False):  # noqa: B007
             pass
-        if state is not None:
-            yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], **row_of(state)})
-
-    key_fields = [T.StructField(f"_k{i}", T.StringType()) for i in range(n)]
-    ends = [T.StructField("_s", T.DoubleType()), T.StructField("_e", T.DoubleType())]
-    summary = ranged.mapInPandas(summarise, T.StructType([T.StructField("pid", T.IntegerType()), *key_fields, *ends]))
-    carried: dict[int, Open | None] = {}
-    state: Open | None = None
-    last = -1
-    for row in sorted(summary.collect(), key=lambda r: r["pid"]):  # one row a partition
-        carried[row["pid"]] = state
-        state = _after(state, Open(tuple(row[f"_k{i}"] for i in range(n)), row["_s"], row["_e"]))
-        last = row["pid"]
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        now = carried.get(pid)
+        return state
+
+    def label(batches: Iterator[pd.DataFrame], now: Open | None, last: bool) -> Iterator[pd.DataFrame]:
         for out, now in _scan(batches, n, now, True):
             if out is not None:
                 yield out
-        if pid == last and now is not None:
-            yield pd.DataFrame({**row_of(now), "kind": ["period"]})
+        if last:
+            yield pd.DataFrame({**{f"_k{i}": [k] for i, k in enumerate(now.entity)}, "kind": ["period"], "_s": [now.start], "_e": [now.end]})
 
-    found = ranged.mapInPandas(label, T.StructType([*key_fields, T.StructField("kind", T.StringType()), *ends]))
-    back = [F.when(F.col(f"_k{i}") != "-", F.substring(f"_k{i}", 2, 1 << 30)).cast(t).alias(c) for i, (c, t) in enumerate(zip(by, types))]
+    order = [f"_k{i}" for i in range(n)]
+    found = carried(rows, [*order, "_s"], summarise, _after, label, ", ".join(f"{k} string" for k in order) + ", kind string, _s double, _e double", partitions)
+    back = [F.when(F.col(k) != "-", F.substring(k, 2, 1 << 30)).cast(df.schema[c].dataType).alias(c) for k, c in zip(order, by)]
     return found.select(*back, "kind", F.col("_s").alias("from_s"), F.col("_e").alias("to_s"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.intervals import milliseconds, periods_and_gaps
 from loomline.operators.joins import nearest, overlapping, stab
+from loomline.operators.scan import queued, runs, with_next
 
 ORDER = ("start_ms", "seg_idx", "seg_id")
 DEFAULT_SPEAKER = "SPEAKER_00"
@@ -29,10 +30,6 @@ def timeline(segments: DataFrame) -> DataFrame:
     return rows.where("start_ms IS NOT NULL AND end_ms > start_ms AND media_id IS NOT NULL").drop("start_s", "end_s")
 
 
-def in_order(*by: str) -> Window:
-    return Window.partitionBy(*(by or ("media_id",))).orderBy(*ORDER)
-
-
 def speaker_at(points: DataFrame, at: str, id: str, turns: DataFrame) -> DataFrame:
     """Each point with the speaker of the turn that holds it, else of the nearest turn, else SPEAKER_00.
 
@@ -87,17 +84,14 @@ def sentences(words: DataFrame, longest_ms: int | None = 12_000, pause_ms: int =
     """Sentences of timed words: a new one at a change of speaker and after a word that ends in a terminator.
 
     A run of words longer than ``longest_ms`` is split by force (see ``split_index``); None splits
-    nothing. Runs are found by windows; only runs that are too long are looked at word by word.
+    nothing. Runs are found by a scan; only runs that are too long are looked at word by word.
     Columns: media_id, sentence (from 1, in order), start_ms, end_ms, speaker_id, text, n_words.
     """
     order = [*ORDER, "word_idx"]
-    w = Window.partitionBy("media_id").orderBy(*order)
     ends = F.regexp_replace("word_text", r"(?U)\s+$", "").rlike("[" + "".join(TERMINATORS) + "]$")
-    before = F.lag(F.struct("speaker_id", ends.alias("ends"))).over(w)
-    fresh = before.isNull() | ~F.col("speaker_id").eqNullSafe(before["speaker_id"]) | before["ends"]
-    runs = words.withColumns({"_ends": ends, "_new": fresh.cast("int")}).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs_ = runs(words.withColumn("_ends", ends), "media_id", order, F.col("speaker_id"), F.col("_ends"), "_run")
     item = F.struct(*order, "word_text", "word_start", "word_end", "_ends", "speaker_id")
-    grouped = runs.groupBy("media_id", "_run").agg(F.array_sort(F.collect_list(item)).alias("w"))  # a run is a sentence
+    grouped = runs_.groupBy("media_id", "_run").agg(F.array_sort(F.collect_list(item)).alias("w"))  # a run is a sentence
     if longest_ms is None:
         sized = grouped.withColumn("sizes", F.array(F.size("w")))
     else:
@@ -114,18 +108,15 @@ def sentences(words: DataFrame, longest_ms: int | None = 12_000, pause_ms: int =
     chunks = sized.select("media_id", "_run", "w", F.posexplode(begin).alias("_part", "_c"))
     part = F.slice(F.col("w"), F.col("_c.at") + 1, F.col("_c.n"))
     rows = chunks.withColumn("w", part).select("media_id", "_run", "_part", F.col("w")[0]["word_start"].alias("start_ms"), F.element_at("w", -1)["word_end"].alias("end_ms"), F.col("w")[0]["speaker_id"].alias("speaker_id"), F.trim(F.array_join(F.col("w.word_text"), " ")).alias("text"), F.size("w").alias("n_words"))
-    number = F.row_number().over(Window.partitionBy("media_id").orderBy("_run", "_part"))
-    return rows.withColumn("sentence", number).drop("_run", "_part")
+    return runs(rows, "media_id", ["_run", "_part"], F.concat_ws("-", "_run", "_part"), name="sentence").drop("_run", "_part")
 
 
 def runs_of(frames: DataFrame, by: str, frame: str, flag: Column) -> DataFrame:
     """Runs of neighbouring frames whose flag is true: ``by``, first_frame, last_frame. A null flag is false."""
-    w = Window.partitionBy(by).orderBy(frame)
-    on = F.coalesce(flag, F.lit(False))
-    rows = frames.withColumn("_on", on)
-    fresh = F.when(F.col("_on") & (~F.coalesce(F.lag("_on").over(w), F.lit(False)) | (F.lag(frame).over(w) != F.col(frame) - 1)), 1).otherwise(0)
-    rows = rows.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
-    return rows.groupBy(by, "_run").agg(F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame")).drop("_run")
+    on = frames.where(F.coalesce(flag, F.lit(False)))
+    # a frame lasts until the next, so frames that follow each other touch
+    spans = periods_and_gaps(on.select(by, F.col(frame).alias("_a"), (F.col(frame) + 1).alias("_b")), [by], "_a", "_b").where("kind = 'period'")
+    return spans.select(by, F.col("from_s").cast("bigint").alias("first_frame"), (F.col("to_s").cast("bigint") - 1).alias("last_frame"))
 
 
 def speech_regions(spans: DataFrame, pause_ms: int = 350, least_ms: int = 400) -> DataFrame:
@@ -184,29 +175,21 @@ def words_in_clips(words: DataFrame, clips: DataFrame) -> DataFrame:
 
 def speaker_bounds(segments: DataFrame) -> DataFrame:
     """Each segment with the start and end of the run of its speaker around it."""
-    w = in_order()
-    fresh = (~F.col("speaker_id").eqNullSafe(F.lag("speaker_id").over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    rows = segments.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = in_order("media_id", "_run")
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumns({"run_start": F.first("start_ms").over(whole), "run_end": F.last("end_ms").over(whole)}).drop("_run")
+    rows = runs(segments, "media_id", ORDER, F.col("speaker_id"), name="_run")
+    place = F.struct(*ORDER)
+    spans = rows.groupBy("media_id", "_run").agg(F.min_by("start_ms", place).alias("run_start"), F.max_by("end_ms", place).alias("run_end"))
+    return rows.join(spans, ["media_id", "_run"]).drop("_run")
 
 
 def placed(segments: DataFrame, wanted: Column, length: Column, gap_ms: int) -> DataFrame:
-    """Each line with placed_ms: its wanted start, or just after the line before if that still plays.
-
-    start_i = C_i + max over j <= i of (wanted_j - C_j), C being the summed lengths and gaps before a
-    line: two running windows in place of a loop.
-    """
-    w = in_order()
-    used = F.coalesce(F.sum(length + gap_ms).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = segments.withColumns({"_used": used, "_want": wanted})
-    return rows.withColumn("placed_ms", F.col("_used") + F.max(F.col("_want") - F.col("_used")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_used", "_want")
+    """Each line with placed_ms: its wanted start, or just after the line before if that still plays."""
+    return queued(segments, "media_id", ORDER, wanted, length + gap_ms, "placed_ms")
 
 
-def room(end_of_track: Column) -> Column:
-    """Milliseconds until the next line is due, for the last line until the track ends."""
-    return F.coalesce(F.lead("start_ms").over(in_order()), end_of_track) - F.col("start_ms")
+def with_room(segments: DataFrame, track_end: str) -> DataFrame:
+    """Each line with room_ms: the time until the next line is due, for the last line until the track ends."""
+    rows = with_next(segments, "media_id", ORDER, "start_ms", "_due")
+    return rows.withColumn("room_ms", F.coalesce("_due", F.col(track_end)) - F.col("start_ms")).drop("_due")
 
 
 def choose_speed(natural: Column, available: Column, original: Column, slowest: float, fastest: float | Column) -> Column:
@@ -233,10 +216,9 @@ def plan_speeds(segments: DataFrame, natural: str, track_end: str, gap: float =
     Columns added: planned_start, speed, spoken (seconds). The fold runs over sorted partitions and
     holds one line at a time; a media item is the unit of parallelism, as its lines feed back.
     """
-    w = in_order()
-    rows = segments.withColumn("_due", F.coalesce(F.lead("start_ms").over(w), F.col(track_end)))
+    rows = with_next(segments, "media_id", ORDER, "start_ms", "_next")
     cols = segments.columns
-    ready = rows.select(*cols, "_due").repartition("media_id").sortWithinPartitions("media_id", *ORDER)
+    ready = rows.select(*cols, F.coalesce("_next", F.col(track_end)).alias("_due")).repartition("media_id").sortWithinPartitions("media_id", *ORDER)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         media, end = None, -np.inf

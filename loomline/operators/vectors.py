@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.operators.numbering import numbered
+from loomline.operators.scan import numbered
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -72,15 +72,15 @@ def _placement(spark: SparkSession, base: str) -> DataFrame:
 
 def _planned_input(spark: SparkSession, base: str) -> DataFrame:
     lines = _lines(spark, base, "translated_text")
-    end = F.max("end_ms").over(Window.partitionBy("media_id"))
+    ends = lines.groupBy("media_id").agg(F.max("end_ms").alias("track_end"))
     natural = F.round(F.coalesce(F.length("translated_text"), F.lit(0)) * _PACE, 3)
-    return lines.withColumns({"natural": natural, "track_end": end}).drop("translated_text")
+    return lines.withColumn("natural", natural).join(ends, "media_id").drop("translated_text")
 
 
 def _speeds(spark: SparkSession, base: str) -> DataFrame:
     """Speed and cap of each line if it started on time."""
     rows = _planned_input(spark, base)
-    rows = rows.withColumn("room_s", T.room(F.col("track_end")) / 1000)
+    rows = T.with_room(rows, "track_end").withColumn("room_s", F.col("room_ms") / 1000)
     slot = (F.col("end_ms") - F.col("start_ms")) / 1000
     cap = T.speed_cap(F.lit(0.0), F.col("natural"), F.col("room_s"), 1.25, 1.4, 0.3)
     return rows.select("media_id", "seg_id", F.round("room_s", 6).alias("room_s"), cap.alias("cap"), F.round(T.choose_speed(F.col("natural"), F.col("room_s"), slot, 0.9, cap), 6).alias("speed"))
@@ -97,9 +97,9 @@ def _planned(spark: SparkSession, base: str) -> DataFrame:
 def _mix(spark: SparkSession, base: str) -> DataFrame:
     """Levels of one-second frames: every line at 0.2 over a background of 0.1."""
     lines = _lines(spark, base)
-    ends = F.max("end_ms").over(Window.partitionBy("media_id"))
+    ends = lines.groupBy("media_id").agg(F.max("end_ms").alias("track_ms"))
     length = F.least(F.col("end_ms") - F.col("start_ms"), F.lit(30_000))
-    rows = T.placed(lines.withColumns({"track_ms": ends, "length_ms": length}), F.col("start_ms"), F.col("length_ms"), 0).select("media_id", "placed_ms", "length_ms", "track_ms", F.lit(0.2).alias("level"))
+    rows = T.placed(lines.withColumn("length_ms", length).join(ends, "media_id"), F.col("start_ms"), F.col("length_ms"), 0).select("media_id", "placed_ms", "length_ms", "track_ms", F.lit(0.2).alias("level"))
     return T.mixed_frames(rows, 1000, 0.1).withColumn("mixed", F.round("mixed", 6))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.operators import external as X
 from loomline.operators import state as S
 from loomline.operators import vectors as V
-from loomline.operators.numbering import numbered
+from loomline.operators.scan import numbered
 from loomline.sources import files as W
 from loomline.streaming import live
 
