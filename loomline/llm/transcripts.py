@@ -17,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.canonical import INVISIBLE, canonical
+from loomline.llm.canonical import INVISIBLE
 from loomline.operators.intervals import milliseconds
-from loomline.session import pinned, stored
+from loomline.operators.scan import carried, key_text
+from loomline.operators.timeline import DEFAULT_SPEAKER
+from loomline.session import stored
 
 # Hesitation sounds with repeated letters written once, of any language ...
 HESITATIONS = frozenset("uhm erm hm mhm euh heu ehm ähm äh öhm öh ãh ahn hã uh eh эм хм э-э э-э-э えと えーと えっと ええと うーん んー あのー".split())
@@ -73,8 +74,8 @@ def speaker_number(label: str | None) -> int | None:
 
 
 def _key(name: str) -> str:
-    """A name whatever its case, width, spaces and look-alike letters; dotless i counts as i."""
-    return _SPACES.sub(" ", canonical(name)).strip().casefold().replace("\u0131", "i").replace("\u0307", "")
+    """A name whatever its case, width and spaces; dotless i counts as i."""
+    return _SPACES.sub(" ", _folded(name)).strip().casefold().replace("\u0131", "i").replace("\u0307", "")
 
 
 def _folded(text: str) -> str:
@@ -238,7 +239,7 @@ class Transcripts:
 
     def __init__(self, df: DataFrame):
         cols = [F.col(c) for c in ("line_id", "media_id", "start_s", "end_s", "speaker_id", "text")]
-        self.lines = df.select(*cols).withColumn("media_key", F.when(F.col("media_id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("media_id"))))
+        self.lines = df.select(*cols).withColumn("media_key", key_text(F.col("media_id")))
 
     def _evidence(self) -> DataFrame:
         """Per media item: names with their numbers, and language."""
@@ -312,7 +313,6 @@ class Transcripts:
     def ordered(self) -> DataFrame:
         """Parts with their turn_no, from 1 in each media item."""
         order = ["media_key", "from_ms", "cue", "to_ms", "line_id", "part"]
-        ranged = pinned(self.spoken().repartitionByRange(*order).sortWithinPartitions(*order))
 
         def scan(batches: Iterator[pd.DataFrame], state: _Turn | None):
             """(batch, turn numbers, speakers, state after it)"""
@@ -322,14 +322,14 @@ class Transcripts:
                 for i in range(len(pdf)):
                     who = speaker[i]
                     if state is None or state.media != media[i]:
-                        state = _Turn(media[i], who or "SPEAKER_00", 1)
+                        state = _Turn(media[i], who or DEFAULT_SPEAKER, 1)
                     elif who and who != state.speaker:
                         state = _Turn(media[i], who, state.number + 1)
                     numbers[i], speaker[i] = state.number, state.speaker
                 yield pdf, numbers, speaker, state
 
-        def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            # the first speaker is null where the partition begins with lines of the speaker before
+        def summarise(batches: Iterator[pd.DataFrame]) -> tuple[str | None, _Turn] | None:
+            """(first speaker, state at the end) of the last item; the first is None if lines of the speaker before are all there is."""
             first = state = None
             for pdf in batches:
                 own = pdf[pdf["media_key"] == pdf["media_key"].iat[-1]]
@@ -339,25 +339,20 @@ class Transcripts:
                     elif who and who != state.speaker:
                         first = first or who
                         state = _Turn(media, who, state.number + 1)
-            if state is not None:
-                yield pd.DataFrame({"pid": [TaskContext.get().partitionId()], "media": [state.media], "first": [first], "last": [state.speaker], "turns": [state.number]})
-
-        carried: dict[int, _Turn | None] = {}
-        state: _Turn | None = None
-        rows = ranged.mapInPandas(summarise, "pid int, media string, first string, last string, turns long").collect()  # one row a partition
-        for row in sorted(rows, key=lambda r: r["pid"]):
-            carried[row["pid"]] = state
-            if state is not None and state.media == row["media"]:
-                again = row["turns"] - (row["first"] == state.speaker) if row["turns"] else 0
-                state = _Turn(row["media"], row["last"] or state.speaker, state.number + again)
-            else:
-                state = _Turn(row["media"], row["last"] or "SPEAKER_00", max(1, row["turns"]))
-
-        def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf, numbers, speaker, _ in scan(batches, carried.get(TaskContext.get().partitionId())):
+            return (first, state) if state else None
+
+        def combine(state: _Turn | None, summary: tuple[str | None, _Turn]) -> _Turn:
+            first, end = summary
+            if state is None or state.media != end.media:
+                return _Turn(end.media, end.speaker or DEFAULT_SPEAKER, max(1, end.number))
+            more = end.number - (first == state.speaker) if end.number else 0
+            return _Turn(end.media, end.speaker or state.speaker, state.number + more)
+
+        def label(batches: Iterator[pd.DataFrame], state: _Turn | None, _: bool) -> Iterator[pd.DataFrame]:
+            for pdf, numbers, speaker, _state in scan(batches, state):
                 yield pdf.assign(speaker=speaker, turn_no=numbers)[["media_key", "turn_no", "speaker", "from_ms", "to_ms", "cue", "line_id", "part", "said", "n_words"]]
 
-        return ranged.mapInPandas(label, "media_key string, turn_no int, speaker string, from_ms long, to_ms long, cue double, line_id long, part int, said string, n_words int")
+        return carried(self.spoken(), order, summarise, combine, label, "media_key string, turn_no int, speaker string, from_ms long, to_ms long, cue double, line_id long, part int, said string, n_words int")
 
     def turns(self) -> DataFrame:
         """media_id, turn_no, speaker_id, from_ms, to_ms, n_words, text."""
