@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators.scan import key_text, last_marks
+
 
 def stab(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, by: Sequence[str]) -> DataFrame:
     """Each point with each interval of its group that holds it: start <= at < end.
@@ -46,21 +48,23 @@ def overlapping(a: DataFrame, a_start: str, a_end: str, b: DataFrame, b_start: s
 def nearest(points: DataFrame, at: str, marks: DataFrame, mark: str, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """Each point with ``value`` of the nearest mark of its group as ``name``, and ``name``_distance.
 
-    Of marks equally far the first by ``order`` is taken. Marks before and after a point are found
-    in one sorted pass over both; points without a mark in their group get nulls.
+    Of marks equally far the first by ``order`` is taken. Marks before and after a point are found by
+    scans over both in order of time; points without a mark in their group, or a null time, get nulls.
     """
     key = F.struct(*[F.col(c) for c in order])
-    one = marks.where(F.col(mark).isNotNull()).groupBy(*by, F.col(mark).alias("_at")).agg(F.min(F.struct(key.alias("k"), value.alias("v"))).alias("_m"))
-    one = one.withColumn("_m", F.struct(F.col("_at").alias("at"), F.col("_m.k").alias("k"), F.col("_m.v").alias("v")))
-    blank = F.lit(None).cast(one.schema["_m"].dataType)
-    cols = points.columns
-    both = points.withColumns({"_at": F.col(at), "_m": blank, "_point": F.lit(True)}).unionByName(one.withColumn("_point", F.lit(False)), allowMissingColumns=True)
-    # marks at the time of a point are its peers; frames that only grow take one pass either way
-    grown = (Window.unboundedPreceding, Window.currentRow)
-    before = F.last("_m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_at").rangeBetween(*grown))
-    after = F.last("_m", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc("_at")).rangeBetween(*grown))
-    found = both.withColumns({"_b": before, "_a": after}).where("_point")
-    far = lambda m: F.abs(F.col(f"{m}.at") - F.col(at))
+    one = marks.where(F.col(mark).isNotNull()).groupBy(*by, F.col(mark).cast("double").alias("_at")).agg(F.min(F.struct(key.alias("k"), value.alias("v"))).alias("_m"))
+    one = one.select(*by, "_at", F.col("_m.k").alias("_k"), F.col("_m.v").alias("_v"))
+    group = F.concat_ws("\x1f", *[key_text(F.col(c)) for c in by])
+    timed = points.withColumn("_at", F.col(at).cast("double"))
+    marked = one.withColumn("_g", group)
+    both = timed.select(*by, "_at").where("_at IS NOT NULL").distinct().withColumn("_g", group).select("_g", "_at", F.lit(False).alias("_mark"))
+    line = both.unionByName(marked.select("_g", "_at", F.lit(True).alias("_mark")))
+    seen = last_marks(line, forwards=True, name="_before").join(last_marks(line, forwards=False, name="_after"), ["_g", "_at"])
+    m = marked.select("_g", F.col("_at"), F.struct(F.col("_at").alias("at"), F.col("_k").alias("k"), F.col("_v").alias("v")).alias("_m"))
+    left = m.select("_g", F.col("_at").alias("_before"), F.col("_m").alias("_b"))
+    right = m.select("_g", F.col("_at").alias("_after"), F.col("_m").alias("_a"))
+    found = timed.withColumn("_g", group).join(seen, ["_g", "_at"], "left").join(left, ["_g", "_before"], "left").join(right, ["_g", "_after"], "left")
+    far = lambda x: F.abs(F.col(f"{x}.at") - F.col("_at"))
     earlier = F.col("_a").isNull() | (F.col("_b").isNotNull() & ((far("_b") < far("_a")) | ((far("_b") == far("_a")) & (F.col("_b.k") <= F.col("_a.k")))))
     best = F.when(earlier, F.col("_b")).otherwise(F.col("_a"))
-    return found.select(*cols, best["v"].alias(name), F.abs(best["at"] - F.col(at)).alias(f"{name}_distance"), best["k"].alias(f"{name}_order"))
+    return found.select(*points.columns, best["v"].alias(name), F.abs(best["at"] - F.col("_at")).alias(f"{name}_distance"), best["k"].alias(f"{name}_order"))

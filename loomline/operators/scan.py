@@ -201,3 +201,40 @@ def with_next(df: DataFrame, by: str, order: Sequence[str], value: str, name: st
             yield pdf.assign(**{name: following.astype(held.dtype if held.dtype == object else "Int64" if kind in ("bigint", "int") else "Float64")})[[*columns, name]]
 
     return carried(rows, back, summarise, lambda _, s: s, label, f"{_schema(df)},{name}:{kind}")
+
+
+def last_marks(line: DataFrame, forwards: bool, name: str) -> DataFrame:
+    """Of each place that isn't a mark the nearest mark at or before it (``forwards``), or at or behind it, as ``name``.
+
+    ``line``: _g (group), _at (place), _mark. Columns: _g, _at, ``name``; null where there is no mark on that side.
+    """
+    order = [F.col("_g"), F.col("_at"), F.col("_mark").desc()] if forwards else [F.col("_g"), F.col("_at").desc(), F.col("_mark").desc()]
+
+    def scan(batches: Batches, state: tuple | None):
+        """(batch, mark of each row, state): state is the group of the row before and its last mark."""
+        for pdf in batches:
+            group, at, mark = pdf["_g"].to_numpy(), pdf["_at"].to_numpy(float), pdf["_mark"].to_numpy(bool)
+            held = pd.Series(np.where(mark, at, np.nan)).groupby(np.cumsum(np.concatenate([[True], group[1:] != group[:-1]]))).ffill().to_numpy()
+            if state is not None and state[0] == group[0]:
+                head = np.flatnonzero(group != group[0])
+                head = slice(0, head[0] if len(head) else len(group))
+                held[head] = np.where(np.isnan(held[head]), state[1], held[head])
+            state = (group[-1], held[-1])
+            yield pdf, held, state
+
+    def summarise(batches: Batches) -> tuple | None:
+        head, state = None, None
+        for pdf, _, state in scan(batches, None):  # noqa: B007
+            head = head or pdf["_g"].iat[0]
+        return (head, state) if state else None
+
+    def combine(state: tuple | None, summary: tuple) -> tuple:
+        _, end = summary
+        return state if state is not None and state[0] == end[0] and np.isnan(end[1]) else end
+
+    def label(batches: Batches, state: tuple | None, _: bool) -> Batches:
+        for pdf, held, _state in scan(batches, state):
+            free = ~pdf["_mark"].to_numpy(bool)
+            yield pd.DataFrame({"_g": pdf["_g"][free], "_at": pdf["_at"][free], name: pd.arrays.FloatingArray(np.nan_to_num(held[free]), np.isnan(held[free]))})
+
+    return carried(line, order, summarise, combine, label, f"_g string, _at double, {name} double")
