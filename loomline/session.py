@@ -56,6 +56,16 @@ def pinned(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; order is not kept."""
     spark = df.sparkSession
-    at = os.path.join(shared_dir(spark), "tables", uuid.uuid4().hex)
+    at = os.path.join(_tables(spark), uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def _tables(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` wrote in this application; DataFrames over them can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,11 +1,13 @@
 """Scans against plain loops, with groups that lie over many partitions."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators.scan import carried, numbered, queued, runs, with_next
+from loomline.session import clear, shared_dir, stored
 
 SCHEMA = "g string, k int, v string, d boolean, want long, n long, extra array<struct<a:int>>, run string"
 
@@ -83,3 +85,12 @@ def test_last_partition_is_told(spark):
 
     got = carried(df, ["id"], lambda b: sum(map(len, b)) or None, lambda s, n: (s or 0) + n, label, "id long, last boolean", 5).orderBy("id").collect()
     assert [r["last"] for r in got] == [False] * (len(got) - 1) + [True]
+
+
+def test_stored_tables_are_in_the_shared_folder_and_can_be_cleared(spark):
+    df = stored(spark.range(5))
+    assert df.count() == 5 and df.inputFiles()[0].startswith(shared_dir(spark))
+    folder = os.path.join(shared_dir(spark), "tables", spark.sparkContext.applicationId).removeprefix("file://")
+    assert os.listdir(folder)
+    clear(spark)
+    assert not os.path.exists(folder)
