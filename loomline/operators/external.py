@@ -146,8 +146,8 @@ class _Tone:
         return 0.2 * np.sin(np.arange(n) * 0.5)
 
 
-def _upside_down(texts: list[str], sources: list[str], target: str) -> list[str]:
-    return [f"[{target}] {t.swapcase()}" for t in texts]
+def _tagged(texts: list[str], sources: list[str], target: str) -> list[str]:
+    return [f"[{s}>{target}] {t}" for t, s in zip(texts, sources)]
 
 
 def stand_ins() -> Registry:
@@ -157,7 +157,7 @@ def stand_ins() -> Registry:
     r.add("diarizer", "clustering", lambda: None)
     r.add("diarizer", "single", lambda: None)
     r.add("transcriber", "given", lambda: None)
-    r.add("translator", "swapped", lambda: _upside_down)
+    r.add("translator", "tagged", lambda: _tagged)
     r.add("synthesizer", "tone", _Tone)
     r.add("speech_mask", "energy", lambda: lambda x: bool(len(x) and np.sqrt((x * x).mean()) > 0.06))
     r.add("embedder", "spectrum", lambda: lambda x: np.abs(np.fft.rfft(np.pad(x, (0, max(0, 16 - len(x))))[:16]))[:8] + 1e-3)

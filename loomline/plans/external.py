@@ -51,7 +51,7 @@ def _transcribed(spark: SparkSession, base: str) -> DataFrame:
 
 def _translated(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "segments", ["seg_id", "text", "detected_language"])
-    return rows.select("seg_id", E.translate_column(E.stand_ins(), "swapped", F.col("text"), X.source_language(F.col("detected_language"), None), "uz").alias("translated"))
+    return rows.select("seg_id", E.translate_column(E.stand_ins(), "tagged", F.col("text"), X.source_language(F.col("detected_language"), None), "uz").alias("translated"))
 
 
 def _spoken(spark: SparkSession, base: str) -> DataFrame:
@@ -70,11 +70,11 @@ def _presets(spark: SparkSession, base: str) -> DataFrame:
 def _dataflow(spark: SparkSession, base: str) -> DataFrame:
     """Sentences, plain wording, protected terms, translation, placement and speed of every line."""
     r = E.stand_ins()
-    r.preflight({"translator": "swapped", "synthesizer": "tone", "diarizer": E.pick_diarizer("auto", False, r.names("diarizer"))})
+    r.preflight({"translator": "tagged", "synthesizer": "tone", "diarizer": E.pick_diarizer("auto", False, r.names("diarizer"))})
     lines = T.timeline(table(spark, base, "segments", ["media_id", "seg_id", "seg_idx", "start_s", "end_s", "speaker_id", "text", "detected_language"])).where("text IS NOT NULL")
     plain = X.plain_wording(F.col("text"), F.col("detected_language"))
     ready = lines.withColumn("protected", X.protect(plain, GLOSSARY))
-    said = ready.withColumn("raw", E.translate_column(r, "swapped", F.col("protected"), X.source_language(F.col("detected_language"), None), "uz"))
+    said = ready.withColumn("raw", E.translate_column(r, "tagged", F.col("protected"), X.source_language(F.col("detected_language"), None), "uz"))
     said = said.withColumn("translated", X.restore(F.col("raw"), X.fired(F.col("protected"), GLOSSARY)))
     timed = said.select("media_id", "seg_id", "seg_idx", "start_ms", "end_ms", "speaker_id", "translated", F.round(F.length("translated") * 0.06, 3).alias("natural"), F.max("end_ms").over(Window.partitionBy("media_id")).alias("track_end"))
     plan = T.plan_speeds(timed, "natural", "track_end")
@@ -100,3 +100,15 @@ SQL = {
     "J5_spoken": "SELECT media_id, seg_id, round(round(coalesce(length(translated_text), 0) * 0.06::DOUBLE * 250 / 1.25) / 250, 6) AS seconds FROM segments",
     "J5_C22_presets": "SELECT * FROM (VALUES ('xotirjam', 'xotirjam'), ('xotirjam', 'calm'), ('quvnoq', 'quvnoq'), ('quvnoq', 'happy'), ('quvnoq', 'excited'), ('pichirlash', 'pichirlash'), ('pichirlash', 'whispers')) t(name, key)",
 }
+
+_BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL["J4_translated"] = rf"SELECT seg_id, CASE WHEN text IS NULL OR regexp_matches(text, '^{_BLANK}*$') THEN '' ELSE '[' || coalesce(nullif(detected_language, ''), 'auto') || '>uz] ' || text END AS translated FROM segments"
+SQL["J3_transcribed"] = """
+WITH t AS (SELECT *, CAST(round(start_s * 1000) AS BIGINT) AS start_ms, CAST(round(end_s * 1000) AS BIGINT) AS end_ms FROM segments WHERE media_id IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s)),
+l AS (SELECT * FROM t WHERE end_ms > start_ms),
+w AS (SELECT media_id, seg_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM l),
+p AS (SELECT media_id, seg_id || '-' || i AS word_id, (CAST(round(word.start_s * 1000) AS BIGINT) + CAST(round(word.end_s * 1000) AS BIGINT)) / 2 AS middle FROM w WHERE word.text IS NOT NULL AND NOT isnan(word.start_s) AND NOT isnan(word.end_s)),
+u AS (SELECT media_id, start_ms, end_ms, seg_idx, seg_id, speaker_id FROM l WHERE speaker_id IS NOT NULL),
+j AS (SELECT p.media_id, p.word_id, arg_min(u.speaker_id, {'c': CASE WHEN u.start_ms <= middle AND middle < u.end_ms THEN 0 ELSE 1 END, 'd': CASE WHEN u.start_ms <= middle AND middle < u.end_ms THEN 0 ELSE least(abs(u.start_ms - middle), abs(u.end_ms - middle)) END, 's': u.start_ms, 'i': u.seg_idx, 'g': u.seg_id}) AS speaker
+      FROM p LEFT JOIN u ON u.media_id = p.media_id GROUP BY 1, 2)
+SELECT media_id, coalesce(speaker, 'SPEAKER_00') AS speaker, count(*) AS n_words FROM j GROUP BY 1, 2"""

@@ -158,7 +158,9 @@ def _cyrillic_sql(x: str) -> str:
     return f"translate({x}, '{T.LATIN_LETTERS}', '{T.CYRILLIC_LETTERS}')"
 
 
-_NAMES = r"list_transform(regexp_extract_all(text, '[\pL\p{Nd}\p{Nl}\p{No},;:] \p{Lu}\p{Ll}{2,}'), lambda x: x[3:])"
+# a mark behind each letter, digit or comma and its space stands in for the look behind
+_NAMES = r"regexp_extract_all(regexp_replace(text, '([\pL\pN,;:]) ', '\1 §', 'g'), '§(\p{Lu}\p{Ll}{2,})', 1)"
+_LISTED = f"n0 AS (SELECT doc_id, {_NAMES} AS w FROM documents), n1 AS (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS low FROM n0), n2 AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(low, lower(x)) = i) AS names FROM n1)"
 
 SQL = {
     "C1_C2_C3_protect": f"""
@@ -189,3 +191,9 @@ SELECT seg_id, code, {_case('code', T.LANGUAGE_NAMES)} AS language_name, {_case(
 SQL["C7_hints"] = rf"""
 WITH p AS (SELECT seg_id, {_protect_sql('text')} AS t FROM segments)
 SELECT seg_id, array_to_string(list_filter([{", ".join(f"'{n}'" for n in AUTO if not any(n.lower() in t.lower() or t.lower() in n.lower() for t in GLOSSARY))}], lambda n: coalesce(regexp_matches(t, '(?i)(^|[^{_WORD}])' || n || '(?:e?s)?($|[^{_WORD}])'), false)), ',') AS hints FROM p"""
+
+SQL["C6_C8_names"] = rf"""
+WITH {_LISTED}, e AS (SELECT doc_id, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM n2),
+g AS (SELECT arg_min(name, {{'d': doc_id, 'p': pos}}) AS name, count(DISTINCT doc_id) AS n_docs FROM e GROUP BY lower(name))
+SELECT name, n_docs FROM g WHERE NOT ({" OR ".join(rf"regexp_matches(name, '(?i)(^|[^{_WORD}]){_quote(t)}(?:e?s)?($|[^{_WORD}])') OR regexp_matches('{_quote(t)}', '(?i)(^|[^{_WORD}])' || name || '(?:e?s)?($|[^{_WORD}])')" for t in GLOSSARY)})"""
+SQL["C9_prompts"] = f"WITH {_LISTED} SELECT doc_id, CASE WHEN len(names) > 0 THEN 'Character and place names in this audio: ' || array_to_string(names[1:5], ', ') || '.' END AS prompt FROM n2"

@@ -129,9 +129,9 @@ def test_stored_history_may_be_broken(spark):
 
 def test_registry_and_diarizer_choice():
     r = X.stand_ins()
-    with pytest.raises(ValueError, match="swapped"):
+    with pytest.raises(ValueError, match="tagged"):
         r.get("translator", "other")
-    r.preflight({"translator": "swapped"})
+    r.preflight({"translator": "tagged"})
     assert X.pick_diarizer("auto", True, ["hosted", "clustering"]) == "hosted" and X.pick_diarizer("auto", True, ["clustering"]) == "clustering"
     with pytest.raises(ValueError):
         X.pick_diarizer("x", False, ["clustering"])
@@ -140,7 +140,7 @@ def test_registry_and_diarizer_choice():
 def test_blank_texts_arent_sent(spark):
     df = spark.createDataFrame([(1, " "), (2, None), (3, "Ab")], "i int, t string")
     r = X.stand_ins()
-    assert {x["i"]: x["o"] for x in df.select("i", X.translate_column(r, "swapped", F.col("t"), F.lit("en"), "uz").alias("o")).collect()} == {1: "", 2: "", 3: "[uz] aB"}
+    assert {x["i"]: x["o"] for x in df.select("i", X.translate_column(r, "tagged", F.col("t"), F.lit("en"), "uz").alias("o")).collect()} == {1: "", 2: "", 3: "[en>uz] Ab"}
 
 
 def test_settings_and_glossary(spark):
