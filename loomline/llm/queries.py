@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm import canonical as C
 from loomline.llm.canonical import canonical_column, equal_looking_pairs
 from loomline.llm.languages import fit_on, label_languages
 from loomline.llm.mixing import Mix
@@ -129,4 +132,41 @@ def p8_passages(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
 
-SQL: dict[str, str] = {}
+
+
+def _quote(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def _skeleton(x: str) -> str:
+    """What a text looks like, in SQL: every look-alike in one script, whatever the text's own."""
+    width = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    kana = "".join(map(chr, range(0xFF61, 0xFFA0)))
+    full = "".join(unicodedata.normalize("NFKC", c) for c in kana)
+    ligatures = "".join(map(chr, range(0xFB00, 0xFB07)))
+    classes = lambda chars: "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in chars)
+    x = f"regexp_replace({x}, '[{classes(C.INVISIBLE)}]', '', 'g')"
+    x = f"regexp_replace({x}, '[{classes(C.SPACES)}]', ' ', 'g')"
+    for c in ligatures:
+        x = f"replace({x}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    x = f"translate({x}, '{_quote(width + kana)}', '{_quote(''.join(chr(ord(c) - 0xFEE0) for c in width) + full)}')"
+    for signs, plain in ((C.APOSTROPHES, "'"), (C.QUOTES, '"'), (C.DASHES, "-")):
+        x = f"translate({x}, '{_quote(signs)}', '{_quote(plain * len(signs))}')"
+    for sign, plain in C.OTHER_SIGNS.items():
+        x = f"replace({x}, '{sign}', '{plain}')"
+    return f"translate(nfc_normalize({x}), '{C.CYRILLIC + C.GREEK + C.KATAKANA_LIKE}', '{C.CYRILLIC_AS_LATIN + C.GREEK_AS_LATIN + C.KATAKANA_AS}')"
+
+
+SQL = {
+    "p5_found": f"""
+WITH v AS (SELECT seg_id, media_id, speaker_id, 'text' AS field, text AS value FROM segments WHERE media_id IS NOT NULL AND speaker_id IS NOT NULL AND text <> ''
+  UNION ALL SELECT seg_id, media_id, speaker_id, 'translated_text', translated_text FROM segments WHERE media_id IS NOT NULL AND speaker_id IS NOT NULL AND translated_text <> ''),
+s AS (SELECT *, {_skeleton('value')} AS look FROM v)
+SELECT a.seg_id AS seg_id_a, b.seg_id AS seg_id_b, a.field FROM s a JOIN s b ON a.media_id = b.media_id AND a.speaker_id = b.speaker_id AND a.field = b.field AND a.look = b.look AND a.seg_id < b.seg_id AND a.value <> b.value""",
+    "p8_found": """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+x AS (SELECT w.doc_id, w.h FROM w JOIN s ON s.h = w.h)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+}
