@@ -191,7 +191,7 @@ def clusters(vectors: np.ndarray, k: int | None = None, distance: float = 0.40,
 def clustered(df: DataFrame, by: str, id: str, vector: str, k: int | None = None, distance: float = 0.40, most: int = 12, largest: int = 20_000) -> DataFrame:
     """Cluster of each vector within its group: ``by``, ``id``, cluster.
 
-    A group is the windows of one media item. Average linkage needs all distances of a group, so a group of
+    A group is the windows of one media item; its vectors have one length, null and empty ones are left out. Average linkage needs all distances of a group, so a group of
     more than ``largest`` vectors is an error, never a part of it dropped.
     """
     schema = T.StructType([df.schema[by], df.schema[id], T.StructField("cluster", T.IntegerType())])
@@ -202,4 +202,4 @@ def clustered(df: DataFrame, by: str, id: str, vector: str, k: int | None = None
         pdf = pdf.sort_values(id)
         return pdf[[by, id]].assign(cluster=clusters(np.stack(pdf[vector].to_numpy()), k, distance, most).astype(np.int32))
 
-    return df.select(by, id, vector).groupBy(by).applyInPandas(run, schema)
+    return df.select(by, id, vector).where(F.col(vector).isNotNull() & (F.size(vector) > 0)).groupBy(by).applyInPandas(run, schema)

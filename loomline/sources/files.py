@@ -89,13 +89,13 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
 
 
 def encode_wav(x: np.ndarray, rate: int) -> bytes:
-    """16 bit mono PCM of samples in -1 to 1."""
+    """16 bit mono PCM of samples in -1 to 1; NaN is silence."""
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes(np.clip(np.round(np.asarray(x, float) * 32768), -32768, 32767).astype("<i2").tobytes())
+        w.writeframes(np.clip(np.round(np.nan_to_num(np.asarray(x, float)) * 32768), -32768, 32767).astype("<i2").tobytes())
     return out.getvalue()
 
 
