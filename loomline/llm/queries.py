@@ -165,7 +165,7 @@ s AS (SELECT *, {_skeleton('value')} AS look FROM v)
 SELECT a.seg_id AS seg_id_a, b.seg_id AS seg_id_b, a.field FROM s a JOIN s b ON a.media_id = b.media_id AND a.speaker_id = b.speaker_id AND a.field = b.field AND a.look = b.look AND a.seg_id < b.seg_id AND a.value <> b.value""",
     "p8_found": """
 WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
-w AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM d)),
+w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM d)),
 s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
 x AS (SELECT w.doc_id, w.h FROM w JOIN s ON s.h = w.h)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
