@@ -60,9 +60,9 @@ def _stored(spark: SparkSession, base: str) -> DataFrame:
     eps = table(spark, base, "episodes", ["id", "title"])
     eps.write.mode("append").json(f"{at}/all")
     eps.select("title").where("title IS NOT NULL").write.mode("append").text(f"{at}/all")
-    found = S.files(spark, f"{at}/all", "*.json").select("path", "length").agg(F.bool_and(F.col("path").endswith(".json")).alias("only_json"))
-    documents = S.json_documents(spark, f"{at}/all", "id string, title string", "*.json").agg(F.count("id").alias("n_documents"))
-    return found.crossJoin(documents)  # one row each
+    found = S.files(spark, f"{at}/all", "*.json").select(F.col("path").endswith(".json").alias("only_json"), F.lit(None).cast("string").alias("id"))
+    documents = S.json_documents(spark, f"{at}/all", "id string, title string", "*.json").select(F.lit(None).cast("boolean").alias("only_json"), "id")
+    return found.unionByName(documents).agg(F.coalesce(F.bool_and("only_json"), F.lit(True)).alias("only_json"), F.count("id").alias("n_documents"))
 
 
 QUERIES = {

@@ -11,3 +11,12 @@ def table(spark: SparkSession, base: str, name: str, columns: Sequence[str] | No
     """The table ``name`` under ``base``; only ``columns`` where they are given."""
     df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table over all cores where its files are fewer than those; else as it is.
+
+    For operators that spend their time in a map over a table. A table of many files isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
