@@ -15,13 +15,13 @@ from loomline.llm.packing import fill_containers, fill_report
 from loomline.llm.spans import SharedSpans
 from loomline.llm.splitting import split_rows
 from loomline.llm.transcripts import Transcripts
-from loomline.sources.tables import table
+from loomline.sources.tables import spread, table
 
 
 def p1_languages(spark: SparkSession, base: str) -> DataFrame:
     """Language and confidence of every line and document, and of each piece of a mixed one."""
-    lines = table(spark, base, "segments", ["seg_id", "text", "detected_language"])
-    docs = table(spark, base, "documents", ["doc_id", "text", "lang"])
+    lines = spread(table(spark, base, "segments", ["seg_id", "text", "detected_language"]))
+    docs = spread(table(spark, base, "documents", ["doc_id", "text", "lang"]))
     model = fit_on(lines, "seg_id", "text", "detected_language")
     a = label_languages(lines.withColumnRenamed("seg_id", "rec_id"), model, "rec_id", "text", "detected_language")
     b = label_languages(docs.withColumnRenamed("doc_id", "rec_id"), model, "rec_id", "text", "lang")
@@ -48,7 +48,7 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, base: str) -> DataFrame:
-    return split_rows(table(spark, base, "segments", ["seg_id", "text", "words"]), "seg_id", "text", "words", limit=280, overlap=5)
+    return split_rows(spread(table(spark, base, "segments", ["seg_id", "text", "words"])), "seg_id", "text", "words", limit=280, overlap=5)
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -63,14 +63,14 @@ def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of lines of one speaker whose texts differ but look the same."""
-    lines = table(spark, base, "segments", ["seg_id", "media_id", "speaker_id", "text", "translated_text"])
+    lines = spread(table(spark, base, "segments", ["seg_id", "media_id", "speaker_id", "text", "translated_text"]))
     pairs = equal_looking_pairs(lines, "seg_id", ["media_id", "speaker_id"], ["text", "translated_text"])
     return pairs.select(F.col("id_a").alias("seg_id_a"), F.col("id_b").alias("seg_id_b"), "field")
 
 
 def p5_canonical(spark: SparkSession, base: str) -> DataFrame:
     """Every line with both texts in one form."""
-    lines = table(spark, base, "segments", ["seg_id", "text", "translated_text"])
+    lines = spread(table(spark, base, "segments", ["seg_id", "text", "translated_text"]))
     return lines.select("seg_id", canonical_column(F.col("text")).alias("text"), canonical_column(F.col("translated_text")).alias("translated_text"))
 
 
@@ -82,14 +82,14 @@ def _capacities(spark: SparkSession, base: str) -> list[int]:
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents that the largest container can't hold, so that packing divides them."""
-    docs = table(spark, base, "documents", ["doc_id", "text"])
+    docs = spread(table(spark, base, "documents", ["doc_id", "text"]))
     packed = fill_containers(docs, "doc_id", "text", [max(_capacities(spark, base))])
     return packed.where("n_pieces > 1").select("doc_id").distinct()
 
 
 def p6_packed(spark: SparkSession, base: str) -> DataFrame:
     """Containers of every capacity, by document and piece."""
-    return fill_containers(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", _capacities(spark, base))
+    return fill_containers(spread(table(spark, base, "documents", ["doc_id", "text"])), "doc_id", "text", _capacities(spark, base))
 
 
 def p6_fill(spark: SparkSession, base: str) -> DataFrame:
@@ -98,7 +98,7 @@ def p6_fill(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, base: str) -> Mix:
-    return Mix(table(spark, base, "documents", ["doc_id", "text", "source"]), table(spark, base, "mix_targets"), "doc_id", "text", "source")
+    return Mix(spread(table(spark, base, "documents", ["doc_id", "text", "source"])), table(spark, base, "mix_targets"), "doc_id", "text", "source")
 
 
 def p7_mix(spark: SparkSession, base: str) -> DataFrame:
@@ -112,7 +112,7 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, base: str) -> SharedSpans:
-    return SharedSpans(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", min_chars=200)
+    return SharedSpans(spread(table(spark, base, "documents", ["doc_id", "text"])), "doc_id", "text", min_chars=200)
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
