@@ -182,16 +182,16 @@ def fit(texts: list[str], labels: list[str], bits: int = 15, size: int = 1 << 16
     """Fit on labelled texts; the result depends on nothing else."""
     code = code_matrix(len(LANGUAGES), bits)
     number = {lang: i for i, lang in enumerate(LANGUAGES)}
-    rows = [(units(t), number[lab]) for t, lab in zip(texts, labels) if lab in number and t]
+    rows = [(words, number[lab]) for t, lab in zip(texts, labels) if lab in number and t and (words := units(t))]
     model = None
     for _ in range(rounds):
-        counts: Counter = Counter()
-        for words, lang in rows:
-            if model is not None and words:
-                total = model.scores(words).sum(0)
-                if total.argmax() != lang:
-                    continue
-            counts.update((w, lang) for w in words)
+        kept = rows
+        if model is not None and rows:
+            found, table = model.numbers([w for words, _ in rows for w in words])
+            begin = np.cumsum([0, *(len(words) for words, _ in rows[:-1])])
+            best = np.add.reduceat(table[found], begin, axis=0).argmax(1)
+            kept = [row for row, lang in zip(rows, best) if row[1] == lang]
+        counts = Counter((w, lang) for words, lang in kept for w in words)
         model = _fit(counts, code, size, steps)
         model.lexicon = _lexicon(counts, len(code))
     return model
