@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,9 +71,9 @@ def nearest_entries(queries: DataFrame, bank: DataFrame, id: str, vector: str, k
 
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("entry_id", kind), T.StructField("similarity", T.DoubleType())])
     found = q.crossJoin(b).mapInPandas(meet, schema)  # blocks, not rows
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("similarity", 12)).alias("far"), "entry_id", "similarity"))), 1, k)
-    merged = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("place", "b"))
-    return merged.select("query_id", F.col("b.entry_id").alias("entry_id"), F.col("b.similarity").alias("similarity"), (F.col("place") + 1).alias("place"))
+    # the window keeps k a query on either side of its shuffle
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "entry_id")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def merged_bank(bank: DataFrame, candidates: DataFrame, matches: DataFrame, threshold: float) -> DataFrame:
