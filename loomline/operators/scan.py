@@ -24,12 +24,13 @@ from loomline.session import pinned
 Batches = Iterator[pd.DataFrame]
 
 
-def carried(df: DataFrame, order: Sequence[str | Column], summarise: Callable[[Batches], Any], combine: Callable[[Any, Any], Any], label: Callable[[Batches, Any, bool], Batches], schema: str, partitions: int | None = None) -> DataFrame:
+def carried(df: DataFrame, order: Sequence[str | Column], summarise: Callable[[Batches], Any], combine: Callable[[Any, Any], Any], label: Callable[[Batches, Any, bool], Batches], schema: str, partitions: int | None = None, needs: Sequence[str] | None = None) -> DataFrame:
     """``label`` over the range-sorted partitions of ``df``.
 
     ``summarise`` gives the summary of a partition's rows (None for no rows), ``combine`` the state
     behind a partition from that before it (None at the start) and its summary, ``label`` the result
-    rows of a partition from the state before it and whether it is the last that has rows.
+    rows of a partition from the state before it and whether it is the last that has rows. ``needs`` names
+    the columns that ``summarise`` reads, all by default.
     """
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     ranged = pinned(ranged.sortWithinPartitions(*order))
@@ -41,7 +42,8 @@ def carried(df: DataFrame, order: Sequence[str | Column], summarise: Callable[[B
 
     before: dict[int, Any] = {}
     state, last = None, -1
-    for row in sorted(ranged.mapInPandas(first, "pid int, summary binary").collect(), key=lambda r: r["pid"]):  # one row a partition
+    read = ranged.select(*needs) if needs else ranged
+    for row in sorted(read.mapInPandas(first, "pid int, summary binary").collect(), key=lambda r: r["pid"]):  # one row a partition
         before[row["pid"]] = state
         state, last = combine(state, pickle.loads(row["summary"])), row["pid"]
 
@@ -74,7 +76,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, first: int = 1) ->
             yield pdf.assign(**{name: np.arange(at, at + len(pdf))})
             at += len(pdf)
 
-    return carried(df, order, count, lambda state, n: (state or 0) + n, label, f"{_schema(df)},{name}:bigint")
+    return carried(df, order, count, lambda state, n: (state or 0) + n, label, f"{_schema(df)},{name}:bigint", needs=order[:1])
 
 
 def runs(df: DataFrame, by: str, order: Sequence[str], value: Column, closes: Column | None = None, name: str = "run") -> DataFrame:
@@ -129,7 +131,7 @@ def runs(df: DataFrame, by: str, order: Sequence[str], value: Column, closes: Co
         for pdf, number, _state in scan(batches, state):
             yield pdf.assign(**{name: number})[[*columns, name]]
 
-    return carried(rows, ["_by", *order], summarise, combine, label, f"{_schema(df)},{name}:bigint")
+    return carried(rows, ["_by", *order], summarise, combine, label, f"{_schema(df)},{name}:bigint", needs=["_by", "_value", "_closes"])
 
 
 def queued(df: DataFrame, by: str, order: Sequence[str], wanted: Column, length: Column, name: str) -> DataFrame:
@@ -173,7 +175,7 @@ def queued(df: DataFrame, by: str, order: Sequence[str], wanted: Column, length:
         for pdf, places, _state in scan(batches, state):
             yield pdf.assign(**{name: places})[[*columns, name]]
 
-    return carried(rows, ["_by", *order], summarise, combine, label, f"{_schema(df)},{name}:bigint")
+    return carried(rows, ["_by", *order], summarise, combine, label, f"{_schema(df)},{name}:bigint", needs=["_by", "_want", "_len"])
 
 
 def with_next(df: DataFrame, by: str, order: Sequence[str], value: str, name: str) -> DataFrame:
@@ -200,7 +202,7 @@ def with_next(df: DataFrame, by: str, order: Sequence[str], value: str, name: st
             state = (own[-1], held.iat[-1])
             yield pdf.assign(**{name: following.astype(held.dtype if held.dtype == object else "Int64" if kind in ("bigint", "int") else "Float64")})[[*columns, name]]
 
-    return carried(rows, back, summarise, lambda _, s: s, label, f"{_schema(df)},{name}:{kind}")
+    return carried(rows, back, summarise, lambda _, s: s, label, f"{_schema(df)},{name}:{kind}", needs=["_by", value])
 
 
 def last_marks(line: DataFrame, forwards: bool, name: str) -> DataFrame:
