@@ -352,7 +352,7 @@ class Transcripts:
             for pdf, numbers, speaker, _state in scan(batches, state):
                 yield pdf.assign(speaker=speaker, turn_no=numbers)[["media_key", "turn_no", "speaker", "from_ms", "to_ms", "cue", "line_id", "part", "said", "n_words"]]
 
-        return carried(self.spoken(), order, summarise, combine, label, "media_key string, turn_no int, speaker string, from_ms long, to_ms long, cue double, line_id long, part int, said string, n_words int")
+        return carried(self.spoken(), order, summarise, combine, label, "media_key string, turn_no int, speaker string, from_ms long, to_ms long, cue double, line_id long, part int, said string, n_words int", needs=["media_key", "speaker"])
 
     def turns(self) -> DataFrame:
         """media_id, turn_no, speaker_id, from_ms, to_ms, n_words, text."""
