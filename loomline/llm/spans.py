@@ -6,6 +6,8 @@ holds a seed that is picked wherever the span occurs. Seeds that occur in two te
 are joined; per pair of texts the matches are chained in order with gap costs, the
 best predecessor coming from a Fenwick tree; each chain is aligned on the texts
 themselves, which gives the exact spans and the fuzzy passages around them.
+Periodic text repeats a seed at even steps: such a row is one item (first, last, step),
+chained by its ends and aligned over its whole extent on every shift.
 
 Exact copies of one text form a class, so a group of copies is matched once.
 """
@@ -90,21 +92,34 @@ def _pick(parts: list[tuple[int, int, np.ndarray]], k: int, window: int):
     return number, at - begin[piece] + offset, h[at]
 
 
+def _rows_of(seeds: pd.DataFrame, widest: int) -> pd.DataFrame:
+    """Seeds (h, cls, pos) as items (h, cls, pos, last, step): rows of equal seeds at one step of at most ``widest``, and single ones with step 0.
+
+    Every seed is in an item; where the step changes, one seed is in two.
+    """
+    seeds = seeds.sort_values(["cls", "h", "pos"], kind="stable")
+    h, cls, pos = (seeds[c].to_numpy() for c in ("h", "cls", "pos"))
+    step = np.diff(pos)
+    linked = (cls[1:] == cls[:-1]) & (h[1:] == h[:-1]) & (step <= widest)
+    alone = np.flatnonzero(~(np.append(linked, False) | np.append(False, linked)))[: len(pos)]
+    # links of one step that follow each other are one row
+    follows = linked[1:] & linked[:-1] & (step[1:] == step[:-1])
+    first = np.flatnonzero(linked & ~np.append(False, follows)[: len(linked)])
+    last = np.flatnonzero(linked & ~np.append(follows, False)[: len(linked)]) + 1
+    at = np.concatenate([alone, first])
+    return pd.DataFrame({"h": h[at], "cls": cls[at], "pos": pos[at], "last": np.concatenate([pos[alone], pos[last]]), "step": np.concatenate([np.zeros(len(alone), np.int32), step[first]])})
+
+
+_ITEM = "h long, cls long, pos int, last int, step int"
+
+
 def _seed_batches(batches: Iterator[pd.DataFrame], k: int, window: int) -> Iterator[pd.DataFrame]:
     span = k + window - 1
 
     def flush(cls: np.ndarray, parts):
         number, pos, h = _pick(parts, k, window)
         out = pd.DataFrame({"h": h.view(np.int64), "cls": cls[number], "pos": pos.astype(np.int32)})
-        out = out.drop_duplicates().sort_values(["cls", "h", "pos"], kind="stable")
-        # periodic text repeats a seed every few characters; the first and the last of such
-        # a row of seeds reach every match that those between them reach
-        same = (out.cls.to_numpy()[1:] == out.cls.to_numpy()[:-1]) & (out.h.to_numpy()[1:] == out.h.to_numpy()[:-1])
-        near = same & (np.diff(out.pos.to_numpy()) <= window)
-        inner = np.zeros(len(out), bool)
-        if len(out) > 2:
-            inner[1:-1] = near[:-1] & near[1:]
-        return out[~inner]
+        return _rows_of(out.drop_duplicates(), window)
 
     for pdf in batches:
         cls = pdf["cls"].to_numpy()
@@ -176,22 +191,37 @@ def chains(pos_a: np.ndarray, pos_b: np.ndarray, weight: float, gap: float) -> l
     return found
 
 
+#: a_from to b_to: bounds of the whole chain; delta to delta_to by step: shifts on which lo_a to hi_a meets lo_b to hi_b.
+_CHAIN = "cls_a long, cls_b long, chain int, score double, n_seeds int, a_from int, a_to int, b_from int, b_to int, delta int, delta_to int, step int, lo_a int, hi_a int, lo_b int, hi_b int"
+
+
 def _chain_batches(batches: Iterator[pd.DataFrame], k: int, window: int, gap: float) -> Iterator[pd.DataFrame]:
-    """One row a chain and diagonal; the rows of a pair come together and in order."""
+    """One row a chain and diagonal, and one a pair of rows of seeds; what belongs to a pair comes together and in order."""
 
     def of_pair(pdf: pd.DataFrame) -> list[tuple]:
         a, b = pdf["cls_a"].iat[0], pdf["cls_b"].iat[0]
-        pa, pb = pdf["pos_a"].to_numpy(np.int64), pdf["pos_b"].to_numpy(np.int64)
-        rows = []
+        fa, la, sa, fb, lb, sb = (pdf[c].to_numpy(np.int64) for c in ("pos_a", "last_a", "step_a", "pos_b", "last_b", "step_b"))
+        ends = np.concatenate([np.stack([x, y], 1) for x in (fa, la) for y in (fb, lb)])
+        ends = np.unique(ends, axis=0) if (sa | sb).any() else ends[: len(fa)]
+        pa, pb = ends[:, 0], ends[:, 1]
+        rows, of = [], {}
         for n, (score, path) in enumerate(chains(pa, pb, float(window), gap)):
             ca, cb = pa[path], pb[path]
             delta = cb - ca
+            whole = (a, b, n, score, len(path), int(ca.min()), int(ca.max()) + k, int(cb.min()), int(cb.max()) + k)
+            of |= dict.fromkeys(zip(ca.tolist(), cb.tolist()), whole)
             for d in np.unique(delta):
                 on = ca[delta == d]
-                rows.append((a, b, n, score, len(path), int(d), int(on.min()), int(on.max()) + k, int(ca.min()), int(ca.max()) + k, int(cb.min()), int(cb.max()) + k))
+                lo, hi = int(on.min()), int(on.max()) + k
+                rows.append((*whole, int(d), int(d), 1, lo, hi, lo + int(d), hi + int(d)))
+        for i in np.flatnonzero(sa | sb):
+            whole, x, y = of[int(fa[i]), int(fb[i])], range(fa[i], la[i] + 1, sa[i] or 1), range(fb[i], lb[i] + 1, sb[i] or 1)
+            one = x if sa[i] and sb[i] and sa[i] != sb[i] else None  # steps differ: the seeds of one side by themselves
+            for x in [range(p, p + 1) for p in one] if one else [x]:
+                rows.append((*whole, y[0] - x[-1], y[-1] - x[0], int(sb[i] if one else sa[i] or sb[i]), x[0], x[-1] + k, y[0], y[-1] + k))
         return rows
 
-    names = ["cls_a", "cls_b", "chain", "score", "n_seeds", "delta", "lo", "hi", "a_from", "a_to", "b_from", "b_to"]
+    names = _CHAIN.replace(",", "").split()[::2]
     kept: pd.DataFrame | None = None
     for pdf in batches:
         if kept is not None:
@@ -211,17 +241,18 @@ def _runs(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 
 def _align_batches(batches: Iterator[pd.DataFrame], min_chars: int) -> Iterator[pd.DataFrame]:
-    """Exact runs on the diagonal of each chain; the part of a text begins at ``at_a`` or ``at_b``."""
+    """Exact runs on the shifts of each chain; the part of a text begins at ``at_a`` or ``at_b``."""
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
             a, b = _codes(r.part_a), _codes(r.part_b)
-            shift = r.delta + r.at_a - r.at_b  # place in part b of the first character of part a
-            x, y = max(0, -shift), max(0, shift)
-            n = min(len(a) - x, len(b) - y)
-            if n >= min_chars:
-                for lo, hi in _runs(a[x : x + n] == b[y : y + n], min_chars):
-                    rows.append((r.cls_a, r.cls_b, r.chain, r.at_a + x + lo, r.at_b + y + lo, hi - lo))
+            for delta in range(r.delta, r.delta_to + 1, r.step):
+                shift = delta + r.at_a - r.at_b  # place in part b of the first character of part a
+                x, y = max(0, -shift), max(0, shift)
+                n = min(len(a) - x, len(b) - y)
+                if n >= min_chars:
+                    for lo, hi in _runs(a[x : x + n] == b[y : y + n], min_chars):
+                        rows.append((r.cls_a, r.cls_b, r.chain, r.at_a + x + lo, r.at_b + y + lo, hi - lo))
         if rows:
             yield pd.DataFrame(rows, columns=["cls_a", "cls_b", "chain", "a_from", "b_from", "length"])
 
@@ -253,47 +284,52 @@ class SharedSpans:
         self._chains: DataFrame | None = None
 
     def seeds(self) -> DataFrame:
-        """(h, cls, pos) of the winnowed seeds, once for each class of equal texts."""
+        """(h, cls, pos, last, step) of the winnowed seeds, once for each class of equal texts."""
         k, window = self.k, self.window
-        picked = self.docs.select("cls", "text").mapInPandas(lambda b: _seed_batches(b, k, window), "h long, cls long, pos int")
+        picked = self.docs.select("cls", "text").mapInPandas(lambda b: _seed_batches(b, k, window), _ITEM)
         return picked
 
     def _anchors(self) -> DataFrame:
         seeds = stored(self.seeds())
         of = seeds.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
         shared = stored(seeds.join(of, "h").distinct())
-        cold = shared.where(F.col("n") <= self.hot).select("h", "cls", "pos", F.lit(self.k).alias("len"))
+        cold = shared.where(F.col("n") <= self.hot).drop("n")
         hot = shared.where(F.col("n") > self.hot)
-        wide = self._widened(hot.select("cls", "pos"))
+        wide = self._widened(hot.select("cls", "pos", "last"))
         more = wide.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("h")
         return cold.unionByName(wide.join(more, "h"))
 
     def _widened(self, hot: DataFrame) -> DataFrame:
-        """All spans of min_chars around hot seeds, by hash."""
-        span, k, window = self.min_chars, self.k, self.window
-        first = F.greatest(F.col("pos") - window + 1, F.lit(0))
+        """All spans of min_chars around hot seeds, by hash and as items."""
+        span, window = self.min_chars, self.window
         texts = self.docs.select("cls", "text").dropDuplicates(["cls"])
-        part = hot.join(texts, "cls").select("cls", first.alias("first"), F.substring("text", first + 1, F.lit(span + window - 1) - (first - F.col("pos") + window - 1)).alias("part"))
+        of = hot.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("rows"))
 
         def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
-                    h = kmer_hashes(_codes(r.part), span)
-                    if len(h):
-                        yield pd.DataFrame({"h": h.view(np.int64), "cls": r.cls, "pos": (r.first + np.arange(len(h))).astype(np.int32), "len": np.int32(k)})
-
-        return part.mapInPandas(hashes, "h long, cls long, pos int, len int").distinct()
+                    codes, parts, done = _codes(r.text), [], 0
+                    for row in r.rows:
+                        at, to = max(row["pos"] - window + 1, done), min(row["last"] + 1, len(codes) - span + 1)
+                        for x in range(at, to, _CHUNK):
+                            y = min(to, x + _CHUNK)
+                            parts.append(pd.DataFrame({"h": kmer_hashes(codes[x : y + span - 1], span).view(np.int64), "cls": r.cls, "pos": np.arange(x, y, dtype=np.int32)}))
+                        done = max(done, to)
+                    if parts:
+                        yield _rows_of(pd.concat(parts), window)
+
+        return of.join(texts, "cls").select("cls", "text", "rows").mapInPandas(hashes, _ITEM)
 
     def chains(self) -> DataFrame:
         """Chains of seeds of each pair of different texts, one row a diagonal."""
         if self._chains is None:
-            found = self._anchors().select("h", "cls", "pos")
-            a, b = (found.select("h", F.col("cls").alias(f"cls_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
-            pairs = a.join(b, "h").where("cls_a < cls_b").select("cls_a", "cls_b", "pos_a", "pos_b")
+            found = self._anchors().select("h", "cls", "pos", "last", "step")
+            a, b = (found.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "pos", "last", "step"))) for x in "ab")
+            pairs = a.join(b, "h").where("cls_a < cls_b").drop("h")
             by = ["cls_a", "cls_b"]
             pairs = pairs.repartition(*by).sortWithinPartitions(*by, "pos_a", "pos_b")
             k, window, gap = self.k, self.window, self.gap
-            self._chains = stored(pairs.mapInPandas(lambda b: _chain_batches(b, k, window, gap), "cls_a long, cls_b long, chain int, score double, n_seeds int, delta int, lo int, hi int, a_from int, a_to int, b_from int, b_to int"))
+            self._chains = stored(pairs.mapInPandas(lambda b: _chain_batches(b, k, window, gap), _CHAIN))
         return self._chains
 
     def spans(self) -> DataFrame:
@@ -308,8 +344,8 @@ class SharedSpans:
                 t = texts.select(F.col("cls").alias(f"cls_{side}"), "text")
                 return df.join(t, f"cls_{side}").withColumns({f"at_{side}": at, f"part_{side}": F.substring("text", at + 1, hi + margin - at)}).drop("text")
 
-            cols = chains.select("cls_a", "cls_b", "chain", "delta", "lo", "hi")
-            both = cut(cut(cols, "a", F.col("lo"), F.col("hi")), "b", F.col("lo") + F.col("delta"), F.col("hi") + F.col("delta"))
+            cols = chains.select("cls_a", "cls_b", "chain", "delta", "delta_to", "step", "lo_a", "hi_a", "lo_b", "hi_b")
+            both = cut(cut(cols, "a", F.col("lo_a"), F.col("hi_a")), "b", F.col("lo_b"), F.col("hi_b"))
             least = self.min_chars
             out = both.mapInPandas(lambda b: _align_batches(b, least), "cls_a long, cls_b long, chain int, a_from int, b_from int, length int")
             self._spans = stored(out.distinct())
@@ -340,10 +376,13 @@ class SharedSpans:
     def passages(self) -> DataFrame:
         """Fuzzy passages: one row a chain of different texts, by representatives.
 
-        Ends are those of its seeds; exact_chars counts its verbatim spans of min_chars and more.
+        Ends are those of its seeds; exact_chars counts the characters of its verbatim spans of min_chars
+        and more, where they overlap once.
         """
         one = self.chains().groupBy("cls_a", "cls_b", "chain").agg(*(F.first(c).alias(c) for c in ("score", "n_seeds", "a_from", "a_to", "b_from", "b_to")))
-        exact = self.spans().groupBy("cls_a", "cls_b", "chain").agg(F.sum("length").alias("exact_chars"))
+        by = ["cls_a", "cls_b", "chain"]
+        # of the first text: shifts of periodic text overlap
+        exact = periods_and_gaps(self.spans().withColumn("a_to", F.col("a_from") + F.col("length")), by, "a_from", "a_to").where("kind = 'period'").groupBy(*by).agg(F.sum(F.col("to_s") - F.col("from_s")).cast("bigint").alias("exact_chars"))
         rep = self.members.groupBy("cls").agg(F.min("id").alias("id"))
         a, b = (rep.select(F.col("cls").alias(f"cls_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
         both = one.join(exact, ["cls_a", "cls_b", "chain"], "left").join(a, "cls_a").join(b, "cls_b")

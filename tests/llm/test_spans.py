@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from loomline.llm.spans import SharedSpans, _codes, chains, kmer_hashes
+from loomline.llm.spans import SharedSpans, _codes, _rows_of, chains, kmer_hashes
 
 SCHEMA = "id long, text string, h string, cls long"
 
@@ -64,6 +65,34 @@ def test_periodic_texts(spark):
     assert {tuple(r) for r in s.pairs().collect()} == brute(rows, 40)
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_repeated_lines_and_rules_against_brute_force(spark, hot):
+    """Periods up to the window, in unequal phases and between other text: every shift counts."""
+    rng = random.Random(7)
+    rows = [(0, "-" * 1000, "", 0), (1, "x" + "-" * 600 + "y", "", 0)]
+    for i in range(2, 42, 2):
+        unit = text(rng, rng.randrange(30, 73))
+        for j, n in enumerate((rng.randrange(200, 261), rng.randrange(400, 1501))):
+            at = rng.randrange(len(unit))
+            rows.append((i + j, text(rng, rng.randrange(90), "klmn") + (unit * 60)[at : at + n] + text(rng, rng.randrange(90), "opqr"), "", 0))
+    s = SharedSpans(spark.createDataFrame(rows, SCHEMA), "id", "text", min_chars=200, hot=hot)
+    assert {tuple(r) for r in s.pairs().collect()} == brute(rows, 200)
+    assert {r["id"]: r["shared_chars"] for r in s.report().collect()} == shared_chars(rows, 200)
+    assert max(r["exact_chars"] for r in s.passages().where("id_a = 0").collect()) == 1000
+
+
+def test_rows_of_seeds_hold_every_seed():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = rng.integers(0, 30)
+        seeds = pd.DataFrame({"h": rng.integers(0, 3, n), "cls": rng.integers(0, 2, n), "pos": rng.integers(0, 40, n).astype(np.int32)}).drop_duplicates()
+        items = _rows_of(seeds, 5)
+        held = {(r.h, r.cls, p) for r in items.itertuples() for p in range(r.pos, r.last + 1, r.step or 1)}
+        assert held == set(seeds.itertuples(index=False, name=None)) and len(items) <= len(seeds)
+    row = _rows_of(pd.DataFrame({"h": 1, "cls": 1, "pos": np.arange(0, 50, 5, dtype=np.int32)}), 5)
+    assert row[["pos", "last", "step"]].to_numpy().tolist() == [[0, 45, 5]]
+
+
 def test_exactly_at_the_limit(spark):
     rng = random.Random(9)
     span = text(rng, 200)
