@@ -136,6 +136,7 @@ class Model:
     trust: np.ndarray
     size: int
     lexicon: frozenset = frozenset()
+    names: frozenset = frozenset()
     known: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -193,23 +194,27 @@ def fit(texts: list[str], labels: list[str], bits: int = 15, size: int = 1 << 16
             kept = [row for row, lang in zip(rows, best) if row[1] == lang]
         counts = Counter((w, lang) for words, lang in kept for w in words)
         model = _fit(counts, code, size, steps)
-        model.lexicon = _lexicon(counts, len(code))
+        model.lexicon, model.names = _lexicon(counts, len(code))
     return model
 
 
-def _lexicon(counts: Counter, n: int) -> frozenset:
-    """Keys of words that occur in the sample three times and mostly in one language; names occur in all alike."""
+def _lexicon(counts: Counter, n: int) -> tuple[frozenset, frozenset]:
+    """Keys of words that occur in the sample three times and mostly in one language, and of names, which occur in all alike and with a capital only."""
     per: dict[int, np.ndarray] = {}
-    total = np.zeros(n)
+    small, total = set(), np.zeros(n)
     for (word, lang), c in counts.items():
         per.setdefault(_key(word), np.zeros(n))[lang] += c
         total[lang] += c
-    out = []
+        if not word[:1].isupper():
+            small.add(_key(word))
+    words, names = [], []
     for key, c in per.items():
         rate = c / np.maximum(total, 1)
         if c.sum() >= 3 and rate.max() >= 0.4 * rate.sum():
-            out.append(key)
-    return frozenset(out)
+            words.append(key)
+        elif c.sum() >= 3 and key not in small:
+            names.append(key)
+    return frozenset(words), frozenset(names)
 
 
 def _fit(counts: Counter, code: np.ndarray, size: int, steps: int) -> Model:
@@ -262,6 +267,9 @@ _AT_ONCE = 100_000
 _PER_WORD = 4
 
 
+_DRAWN, _REPEAT, _SYLLABLES = re.compile(r"(.)\1{3}"), re.compile(r"(.)\1+"), re.compile(r"(.{1,3}?)\1{2,}.?")
+
+
 def _paths(scores: list[np.ndarray], change: float) -> list[np.ndarray]:
     """Cheapest language of each unit of each text, all texts in step, the longest first."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
@@ -362,6 +370,22 @@ def identify(model: Model, texts: list[str | None], change: float = CHANGE, clea
             yield index, out
 
 
+def _is_cry(word: str) -> bool:
+    """Whether a unit is a sound: one letter drawn out between few others, or a syllable over and over."""
+    w = re.sub(r"[^\w]", "", word.casefold())
+    return bool(_DRAWN.search(w)) and len(_REPEAT.sub(r"\1", w)) <= 4 or bool(_SYLLABLES.fullmatch(w))
+
+
+def _wordless(model: Model, text: str) -> bool:
+    """Whether no unit is a word of a language: cries, names of the sample, and katakana, which may be names."""
+
+    def none_of(words: list[str]) -> bool:
+        return all(_is_cry(w) or _IS_CJK.match(w) and set(_shape(w)) == {"k"} or _key(w) in model.names for w in words)
+
+    # most texts have a word near their start; the last unit of the start may be cut
+    return none_of(units(text[:400])[:-1]) and none_of(units(text))
+
+
 def sample(df: DataFrame, id: str, text: str, label: str, rows: int = 12_000) -> tuple[list[str], list[str]]:
     """Labelled rows to fit on, at most ``rows`` of them, taken by a hash of the id: the one bounded sample here."""
     t, code = F.col(f"`{text}`"), label_column(F.col(f"`{label}`"))
@@ -384,9 +408,10 @@ def label_languages(df: DataFrame, model: Model, id: str, text: str, label: str)
 
     Columns: ``id``, label_language (what the label names, null if none of the languages),
     n_letters, piece (0 for the whole of a record in one language, else from 1), language,
-    confidence, ambiguous, piece_text (null for piece 0). A record without words of any language
-    (null or empty, numbers, names or cries only) has one row with a null language and
-    confidence 0. Repeated rows come out alike; extra columns are ignored. Nothing is shuffled.
+    confidence, ambiguous, piece_text (null for piece 0). A record whose evidence is thin has its
+    nearest language, ambiguous. One without words of any language (null or empty, numbers, names
+    of the sample or cries only), or that is as near to two languages, has one row with a null
+    language and confidence 0. Repeated rows come out alike; extra columns are ignored. Nothing is shuffled.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size
@@ -399,7 +424,8 @@ def label_languages(df: DataFrame, model: Model, id: str, text: str, label: str)
             rows = []
             for i, found in identify(model, texts):
                 letters = sum(map(str.isalpha, texts[i])) if texts[i] else 0
-                if not found or found[0][3] and len(found) == 1:
+                # thin evidence is still an answer; only where nothing speaks, or no word is there, is there none
+                if not found or len(found) == 1 and (found[0][2] - 0.5 < 1e-9 or _wordless(model, texts[i])):
                     rows.append((ids[i], labels[i], letters, 0, None, 0.0, True, None))
                     continue
                 spans = None

@@ -1,10 +1,11 @@
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm.languages import LANGUAGES, code_matrix, fit, fit_on, identify, label_column, label_languages, language_of_label
+from loomline.llm.languages import LANGUAGES, Model, _lexicon, code_matrix, fit, fit_on, identify, label_column, label_languages, language_of_label
 
 BASE = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(BASE), reason="no test data")
@@ -54,6 +55,26 @@ def test_a_cry_is_in_no_language(spark, model):
     assert label_languages(df.limit(0), model, "id", "text", "piece").count() == 0
 
 
+def test_thin_evidence_is_flagged_and_kept(spark, model):
+    texts = ["Thank you.", "Quédate aquí.", "Wo ist mein Hut?", "Hahahahahahahahahahahahaha!", "Oa" + "a" * 400, "Mmmmmm... Shhhhh!", "カタカナ"]
+    weak = Model(model.code, model.weights / 64, model.trust, model.size, model.lexicon, model.names)  # so that longer lines are unclear too
+    long = ["The old pilot sold the last ticket near the old market.", "El farero vendió el abrigo de su padre después del ensayo"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("label", F.lit("fr"))
+    got = {r["id"]: r for r in label_languages(df, model, "id", "text", "label").collect()}
+    assert all(got[i]["language"] and got[i]["confidence"] > 0.5 for i in (0, 1, 2)) and got[0]["ambiguous"]
+    assert got[0]["language"] == "en" and got[1]["language"] == "es"
+    assert [(got[i]["language"], got[i]["confidence"], got[i]["ambiguous"]) for i in (3, 4, 5, 6)] == [(None, 0.0, True)] * 4
+    df = spark.createDataFrame(list(enumerate(long)), "id long, text string").withColumn("label", F.lit("fr"))
+    got = {r["id"]: r for r in label_languages(df, weak, "id", "text", "label").collect()}
+    assert [(got[i]["language"], got[i]["ambiguous"], got[i]["confidence"] > 0.5) for i in (0, 1)] == [("en", True, True), ("es", True, True)]
+    counts = Counter({("Marlo", 0): 3, ("Marlo", 1): 3, ("Marlo", 2): 3, ("the", 0): 9, ("el", 1): 9, ("o", 2): 9})
+    known = Model(model.code, model.weights, model.trust, model.size, *_lexicon(counts, len(model.code)))
+    named = {r["id"]: r["language"] for r in label_languages(spark.createDataFrame([(0, "Marlo, Marlo!"), (1, "Marlo, the captain of the old bridge")], "id long, text string").withColumn("label", F.lit("fr")), known, "id", "text", "label").collect()}
+    assert named == {0: None, 1: "en"}
+    nothing = {r["id"]: r["language"] for r in label_languages(df, fit([], []), "id", "text", "label").collect()}
+    assert nothing == {0: None, 1: None}
+
+
 def test_a_long_text_is_read_to_its_end(model):
     en, tr = "The captain stole the gate under the bridge. " * 3000, "Gece bekçisi yol kapalı olduğu için son sahneyi anlattı. "
     assert pieces(model, en + tr + en) == [(1, "en"), (2, "tr"), (3, "en")]
