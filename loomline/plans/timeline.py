@@ -98,7 +98,7 @@ def _mix(spark: SparkSession, base: str) -> DataFrame:
     """Levels of one-second frames: every line at 0.2 over a background of 0.1."""
     lines = _lines(spark, base)
     ends = lines.groupBy("media_id").agg(F.max("end_ms").alias("track_ms"))
-    length = F.least(F.col("end_ms") - F.col("start_ms"), F.lit(30_000))
+    length = F.col("end_ms") - F.col("start_ms")
     rows = T.placed(lines.withColumn("length_ms", length).join(ends, "media_id"), F.col("start_ms"), F.col("length_ms"), 0).select("media_id", "placed_ms", "length_ms", "track_ms", F.lit(0.2).alias("level"))
     return T.mixed_frames(rows, 1000, 0.1).withColumn("mixed", F.round("mixed", 6))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import timeline as T
+from loomline.plans.timeline import QUERIES
 
 SEG = "media_id string, seg_id long, seg_idx int, start_s double, end_s double, speaker_id string, text string, words array<struct<text:string,start_s:double,end_s:double>>"
 
@@ -147,6 +148,16 @@ def test_mix_is_below_the_ceiling_and_as_long_as_needed(spark):
     assert got["e"] == {0: 0.1, 1: 0.1}
 
 
+def test_mix_plays_long_lines_to_their_end(spark, tmp_path):
+    segs = [seg(1, 0, 70), seg(2, 10, 12), seg(3, 1, 41, media="n"), seg(4, 50, 51, media="n")]
+    spark.createDataFrame(segs, SEG).write.parquet(f"{tmp_path}/segments.parquet")
+    got = {}
+    for r in QUERIES["B18_mix"](spark, str(tmp_path)).collect():
+        got.setdefault(r["media_id"], {})[r["frame"]] = r["mixed"]
+    assert got["m"] == dict.fromkeys(range(72), 0.3)  # the second line waits for the first
+    assert got["n"] == {i: 0.3 if 1 <= i <= 40 or i == 50 else 0.1 for i in range(51)}
+
+
 def test_borrowing_prefers_the_earlier_of_equals(spark):
     rows = [("m", 1, 1, 0, "a"), ("m", 2, 2, 10, "default"), ("m", 3, 3, 20, "b"), ("n", 4, 1, 0, "default")]
     df = spark.createDataFrame(rows, "media_id string, seg_id long, seg_idx int, start_ms long, reference string")
