@@ -24,16 +24,17 @@ from loomline.session import pinned
 Batches = Iterator[pd.DataFrame]
 
 
-def carried(df: DataFrame, order: Sequence[str | Column], summarise: Callable[[Batches], Any], combine: Callable[[Any, Any], Any], label: Callable[[Batches, Any, bool], Batches], schema: str, partitions: int | None = None, needs: Sequence[str] | None = None) -> DataFrame:
+def carried(df: DataFrame, order: Sequence[str | Column], summarise: Callable[[Batches], Any], combine: Callable[[Any, Any], Any], label: Callable[[Batches, Any, bool], Batches], schema: str, partitions: int | None = None, needs: Sequence[str] | None = None, ties: Sequence[str | Column] = ()) -> DataFrame:
     """``label`` over the range-sorted partitions of ``df``.
 
     ``summarise`` gives the summary of a partition's rows (None for no rows), ``combine`` the state
     behind a partition from that before it (None at the start) and its summary, ``label`` the result
     rows of a partition from the state before it and whether it is the last that has rows. ``needs`` names
-    the columns that ``summarise`` reads, all by default.
+    the columns that ``summarise`` reads, all by default. Rows equal by ``order`` are in one partition,
+    sorted by ``ties``.
     """
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    ranged = pinned(ranged.sortWithinPartitions(*order))
+    ranged = pinned(ranged.sortWithinPartitions(*order, *ties))
 
     def first(batches: Batches) -> Batches:
         summary = summarise(pdf for pdf in batches if len(pdf))
