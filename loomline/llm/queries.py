@@ -39,7 +39,8 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 def p2_turns(spark: SparkSession, base: str) -> DataFrame:
     """Clean speaker turns of every media item, with their text."""
     lines = table(spark, base, "transcripts", ["line_id", "media_id", "start_s", "end_s", "speaker_id", "text"])
-    return Transcripts(lines).turns()
+    known = spread(table(spark, base, "segments", ["seg_id", "text", "detected_language"]))
+    return Transcripts(lines, fit_on(known, "seg_id", "text", "detected_language", rows=4_000)).turns()
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
