@@ -20,3 +20,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one of spark.sql.shuffle.partitions partitions, which AQE doesn't merge by their bytes.
+
+    For maps whose few bytes cost much time.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
