@@ -126,12 +126,22 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
     return _shared(spark, base).report().withColumnRenamed("id", "doc_id")
 
 
+def p8_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Of each document of 200 characters and more, the first with the same text."""
+    return _shared(spark, base).classes().withColumnsRenamed({"id": "doc_id", "class_id": "class_doc_id"})
+
+
+def p8_class_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of different texts with a common stretch, each by its first document."""
+    return _shared(spark, base).class_pairs().withColumnsRenamed({"class_a": "doc_id_a", "class_b": "doc_id_b"})
+
+
 def p8_passages(spark: SparkSession, base: str) -> DataFrame:
     """Fuzzy passages: chained matches of two documents."""
     return _shared(spark, base).passages().withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_passages": p8_passages}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_classes": p8_classes, "p8_class_pairs": p8_class_pairs, "p8_passages": p8_passages}
 
 
 
@@ -158,16 +168,32 @@ def _skeleton(x: str) -> str:
     return f"translate(nfc_normalize({x}), '{C.CYRILLIC + C.GREEK + C.KATAKANA_LIKE}', '{C.CYRILLIC_AS_LATIN + C.GREEK_AS_LATIN + C.KATAKANA_AS}')"
 
 
+_STRETCHES = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+x AS (SELECT w.doc_id, w.h FROM w JOIN s ON s.h = w.h)"""
+
 SQL = {
     "p5_found": f"""
 WITH v AS (SELECT seg_id, media_id, speaker_id, 'text' AS field, text AS value FROM segments WHERE media_id IS NOT NULL AND speaker_id IS NOT NULL AND text <> ''
   UNION ALL SELECT seg_id, media_id, speaker_id, 'translated_text', translated_text FROM segments WHERE media_id IS NOT NULL AND speaker_id IS NOT NULL AND translated_text <> ''),
 s AS (SELECT *, {_skeleton('value')} AS look FROM v)
 SELECT a.seg_id AS seg_id_a, b.seg_id AS seg_id_b, a.field FROM s a JOIN s b ON a.media_id = b.media_id AND a.speaker_id = b.speaker_id AND a.field = b.field AND a.look = b.look AND a.seg_id < b.seg_id AND a.value <> b.value""",
-    "p8_found": """
-WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
-w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM d)),
-s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
-x AS (SELECT w.doc_id, w.h FROM w JOIN s ON s.h = w.h)
+    "p8_found": f"""{_STRETCHES}
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_classes": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_doc_id FROM documents WHERE length(text) >= 200",
+    "p8_class_pairs": f"""{_STRETCHES},
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS cls FROM d),
+y AS (SELECT DISTINCT c.cls, x.h FROM x JOIN c ON c.doc_id = x.doc_id)
+SELECT DISTINCT a.cls AS doc_id_a, b.cls AS doc_id_b FROM y a JOIN y b ON a.h = b.h AND a.cls < b.cls""",
+    "p8_report": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT text, count(*) AS n, min(doc_id) AS cls FROM d WHERE length(text) >= 200 GROUP BY text),
+w AS (SELECT cls, i, md5(substr(text, i, 200)) AS h FROM (SELECT cls, text, unnest(generate_series(1, length(text) - 199)) AS i FROM t)),
+s AS (SELECT h, count(DISTINCT cls) AS k FROM w GROUP BY h HAVING count(DISTINCT cls) > 1),
+x AS (SELECT cls, i, k, lead(i) OVER (PARTITION BY cls ORDER BY i) AS following FROM w JOIN s ON s.h = w.h),
+p AS (SELECT cls, CAST(sum(least(200, coalesce(following - i, 200))) AS BIGINT) AS part, max(k) - 1 AS most FROM x GROUP BY cls),
+r AS (SELECT doc_id, length(d.text) AS n_chars, CASE WHEN n > 1 THEN length(d.text) ELSE coalesce(part, 0) END AS shared_chars, coalesce(n - 1, 0) AS n_copies, coalesce(most, 0) AS n_texts FROM d LEFT JOIN t ON t.text = d.text LEFT JOIN p ON p.cls = t.cls)
+SELECT doc_id, n_chars, shared_chars, coalesce(round(shared_chars / nullif(n_chars, 0), 6), 0.0) AS shared_part, n_copies, n_texts FROM r""",
 }

@@ -9,7 +9,10 @@ themselves, which gives the exact spans and the fuzzy passages around them.
 Periodic text repeats a seed at even steps: such a row is one item (first, last, step),
 chained by its ends and aligned over its whole extent on every shift.
 
-Exact copies of one text form a class, so a group of copies is matched once.
+Exact copies of one text form a class, so a group of copies is matched once. How much of
+a text occurs elsewhere needs no pairs: the spans of min_chars around shared seeds are
+counted by hash, and those of several classes are laid together, so the work grows with
+the occurrences of shared text, not with the pairs of texts that share it.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.intervals import periods_and_gaps
 from loomline.session import stored
+from loomline.sources.tables import spread_by
 
 #: Odd multipliers of the rolling hash, fixed values.
 BASE = 0x9E3779B97F4A7C15
@@ -278,8 +282,10 @@ class SharedSpans:
             raise ValueError("k must not exceed min_chars")
         t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
         self.docs = df.select(F.col(f"`{id}`").alias("id"), t.alias("text"), F.xxhash64(t).alias("cls")).where(F.length("text") >= min_chars)
-        self.all = df.select(F.col(f"`{id}`").alias("id"), F.length(t).cast("bigint").alias("n_chars"), F.xxhash64(t).alias("cls"))
-        self.members = self.docs.select("id", "cls")
+        self.all = df.select(F.col(f"`{id}`").alias("id"), F.length(t).cast("bigint").alias("n_chars"), F.xxhash64(t).alias("cls"), F.xxhash64(F.lit(1), t).alias("fp"))
+        # copies are confirmed by a second hash of the text, 128 bits in all
+        self.members = self.docs.select("id", "cls", F.xxhash64(F.lit(1), "text").alias("fp"))
+        self._seeds: DataFrame | None = None
         self._spans: DataFrame | None = None
         self._chains: DataFrame | None = None
 
@@ -289,10 +295,16 @@ class SharedSpans:
         picked = self.docs.select("cls", "text").mapInPandas(lambda b: _seed_batches(b, k, window), _ITEM)
         return picked
 
+    def _shared(self) -> DataFrame:
+        """Seeds of several classes, with the number of items that have them."""
+        if self._seeds is None:
+            seeds = stored(self.seeds())
+            of = seeds.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
+            self._seeds = stored(seeds.join(of, "h").distinct())
+        return self._seeds
+
     def _anchors(self) -> DataFrame:
-        seeds = stored(self.seeds())
-        of = seeds.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
-        shared = stored(seeds.join(of, "h").distinct())
+        shared = self._shared()
         cold = shared.where(F.col("n") <= self.hot).drop("n")
         hot = shared.where(F.col("n") > self.hot)
         wide = self._widened(hot.select("cls", "pos", "last"))
@@ -327,7 +339,7 @@ class SharedSpans:
             a, b = (found.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "pos", "last", "step"))) for x in "ab")
             pairs = a.join(b, "h").where("cls_a < cls_b").drop("h")
             by = ["cls_a", "cls_b"]
-            pairs = pairs.repartition(*by).sortWithinPartitions(*by, "pos_a", "pos_b")
+            pairs = spread_by(pairs, *by).sortWithinPartitions(*by, "pos_a", "pos_b")
             k, window, gap = self.k, self.window, self.gap
             self._chains = stored(pairs.mapInPandas(lambda b: _chain_batches(b, k, window, gap), _CHAIN))
         return self._chains
@@ -353,25 +365,47 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """Every pair of records with a common span: id_a < id_b."""
-        m = self.members
+        m = self.members.select("id", "cls")
         linked = self.spans().select("cls_a", "cls_b").distinct()
         a, b = (m.select(F.col("cls").alias(f"cls_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
         across = linked.join(a, "cls_a").join(b, "cls_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-        copies = m.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls")
-        twin = m.join(copies, "cls", "left_semi")
-        x, y = twin.select("cls", F.col("id").alias("id_a")), twin.select("cls", F.col("id").alias("id_b"))
-        return across.unionByName(x.join(y, "cls").where("id_a < id_b").select("id_a", "id_b"))
+        twin = self.members.join(self._copied().where("n > 1").select("cls", "fp"), ["cls", "fp"], "left_semi")
+        x, y = twin.select("cls", "fp", F.col("id").alias("id_a")), twin.select("cls", "fp", F.col("id").alias("id_b"))
+        return across.unionByName(x.join(y, ["cls", "fp"]).where("id_a < id_b").select("id_a", "id_b"))
+
+    def _copied(self) -> DataFrame:
+        """Classes of equal texts with their size and least id."""
+        return self.members.groupBy("cls", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+
+    def classes(self) -> DataFrame:
+        """id and class_id, the least id with the same text, of each record of min_chars and more: with ``class_pairs`` all that ``pairs`` holds."""
+        return self.members.join(self._copied().select("cls", "fp", F.col("id").alias("class_id")), ["cls", "fp"]).select("id", "class_id")
+
+    def class_pairs(self) -> DataFrame:
+        """Pairs of classes of different texts with a common span, by their class_id: class_a < class_b."""
+        rep = self._copied().groupBy("cls").agg(F.min("id").alias("id"))
+        a, b = (rep.select(F.col("cls").alias(f"cls_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+        linked = self.spans().select("cls_a", "cls_b").distinct().join(a, "cls_a").join(b, "cls_b")
+        return linked.select(F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b"))
+
+    def _elsewhere(self) -> DataFrame:
+        """Spans of min_chars that several classes hold: h, cls, pos, last, step, n_texts. Linear in the occurrences."""
+        wide = stored(self._widened(self._shared().select("cls", "pos", "last")))
+        of = wide.groupBy("h", "cls").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n_texts")).where("n_texts > 1")
+        return wide.join(of, "h")
 
     def report(self) -> DataFrame:
-        """Of each record: n_chars, chars that occur in another record, their share, its copies and linked texts."""
-        s = self.spans()
-        sides = s.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other"), F.col("a_from").alias("lo"), "length").unionByName(s.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other"), F.col("b_from").alias("lo"), "length"))
-        covered = periods_and_gaps(sides.withColumn("hi", F.col("lo") + F.col("length")), ["cls"], "lo", "hi").where("kind = 'period'").groupBy("cls").agg(F.sum(F.col("to_s") - F.col("from_s")).cast("bigint").alias("part"))
-        links = sides.groupBy("cls").agg(F.countDistinct("other").alias("n_linked"))
-        sizes = self.members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-        per = self.all.join(sizes, "cls", "left").join(covered, "cls", "left").join(links, "cls", "left")
+        """Of each record: n_chars, chars that occur in another record, their share, its copies, and n_texts.
+
+        shared_chars counts the characters of spans of min_chars and more that another record holds, all of them for a
+        record with copies; n_texts the other texts that hold one such span, for the span that most of them hold.
+        """
+        found = self._elsewhere().select("cls", F.col("pos").alias("lo"), (F.col("last") + self.min_chars).alias("hi"), "n_texts")
+        covered = periods_and_gaps(found, ["cls"], "lo", "hi").where("kind = 'period'").groupBy("cls").agg(F.sum(F.col("to_s") - F.col("from_s")).cast("bigint").alias("part"))
+        most = found.groupBy("cls").agg((F.max("n_texts") - 1).alias("most"))
+        per = self.all.join(self._copied().select("cls", "fp", "n"), ["cls", "fp"], "left").join(covered, "cls", "left").join(most, "cls", "left")
         shared = F.when(F.col("n") > 1, F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0)))
-        return per.select("id", "n_chars", shared.alias("shared_chars"), F.coalesce(F.round(shared / F.nullif("n_chars", F.lit(0)), 6), F.lit(0.0)).alias("shared_part"), F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_copies"), F.coalesce("n_linked", F.lit(0)).alias("n_linked_texts"))
+        return per.select("id", "n_chars", shared.alias("shared_chars"), F.coalesce(F.round(shared / F.nullif("n_chars", F.lit(0)), 6), F.lit(0.0)).alias("shared_part"), F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_copies"), F.coalesce("most", F.lit(0)).alias("n_texts"))
 
     def passages(self) -> DataFrame:
         """Fuzzy passages: one row a chain of different texts, by representatives.

@@ -139,3 +139,35 @@ def test_chains_against_all_pairs():
         assert sorted(i for _, path in got for i in path) == list(range(n))
         for _, path in got:
             assert (np.diff(pa[path]) > 0).all() and (np.diff(pb[path]) > 0).all()
+
+
+@pytest.mark.parametrize("period,long,short", [(1, 1000, 600), (10, 1000, 400), (60, 2400, 600)])
+def test_the_report_holds_the_whole_of_periodic_texts(spark, period, long, short):
+    unit = text(random.Random(period), period)
+    rows = [(1, "(" + (unit * 2400)[:long] + ")", "", 0), (2, "[" + (unit * 2400)[3 : 3 + short] + "]", "", 0), (3, "apart " * 60, "", 0)]
+    s = SharedSpans(spark.createDataFrame(rows, SCHEMA), "id", "text", min_chars=200)
+    assert {r["id"]: r["shared_chars"] for r in s.report().collect()} == shared_chars(rows, 200) == {1: long, 2: short, 3: 0}
+
+
+def test_a_passage_of_a_thousand_texts_makes_no_pairs(spark):
+    rng = random.Random(8)
+    passage = text(rng, 260)
+    rows = [(i, text(rng, 20) + passage + text(rng, 20), "", 0) for i in range(1000)] + [(1000, passage[:210], "", 0), (1001, text(rng, 300), "", 0)]
+    s = SharedSpans(spark.createDataFrame(rows, SCHEMA), "id", "text", min_chars=200)
+    got = {r["id"]: (r["shared_chars"], r["n_texts"]) for r in s.report().collect()}
+    want = shared_chars(rows, 200)
+    assert {i: n for i, (n, _) in got.items()} == want
+    assert {n for i, (_, n) in got.items() if i < 1001} == {1000} and got[1001] == (0, 0)
+    assert s._chains is None
+
+
+def test_classes_and_their_pairs_hold_all_pairs(spark):
+    rows = made(5)
+    s = SharedSpans(spark.createDataFrame(rows, SCHEMA), "id", "text", min_chars=40)
+    members = {}
+    for r in s.classes().collect():
+        members.setdefault(r["class_id"], []).append(r["id"])
+    pairs = {(a, b) for ids in members.values() for a in ids for b in ids if a < b}
+    for r in s.class_pairs().collect():
+        pairs |= {(min(a, b), max(a, b)) for a in members[r["class_a"]] for b in members[r["class_b"]]}
+    assert pairs == brute(rows, 40)
