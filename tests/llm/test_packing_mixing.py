@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import tokens
 from loomline.llm.mixing import Mix, source_name
-from loomline.llm.packing import fill_containers, fill_report, pack
+from loomline.llm.packing import fill_containers, fill_report, limits_of, pack
 
 PATH = os.path.join(tokens.FOLDER, tokens.VOCABULARY)
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary")
@@ -27,6 +27,22 @@ def test_pack_keeps_every_limit(seed):
     assert where.max() + 1 <= least * 1.15 + 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_each_limit_binds(seed):
+    """Without any one of the limits the packing is another, and some container is over that limit."""
+    rng = np.random.default_rng(seed)
+    limits = limits_of(512, 64, 0.8)
+    size = np.concatenate([rng.integers(1, 20, 150), rng.integers(20, 400, 150)])
+    sizes = np.stack([size, np.ones(300), size * rng.choice([0.4, 0.95], 300)], 1)
+    whole = pack(sizes, limits)
+    assert all((sizes[whole == k].sum(0) <= limits + 1e-6).all() for k in range(whole.max() + 1))
+    for d in range(3):
+        free = limits.copy()
+        free[d] = 1e9
+        other = pack(sizes, free)
+        assert (other != whole).any() and any(sizes[other == k].sum(0)[d] > limits[d] for k in range(other.max() + 1))
+
+
 def docs(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "12:30", "–", "γάμμα", "日本"]) for _ in range(rng.choice([1, 5, 30, 90]))), i) for i in range(300)]
@@ -36,7 +52,7 @@ def docs(spark):
 
 def test_all_items_once_and_only_large_ones_divided(spark):
     rows, df = docs(spark)
-    packed = fill_containers(df, "doc_id", "text", [64, 256], block_items=50).collect()
+    packed = fill_containers(df, "doc_id", "text", [64, 256], tokens_per_segment=16, block_items=50).collect()
     n = {i: len(tokens.tokens(t, PATH)) for i, t, _ in rows}
     for c in (64, 256):
         mine = [r for r in packed if r["capacity"] == c]
@@ -44,13 +60,18 @@ def test_all_items_once_and_only_large_ones_divided(spark):
         for r in mine:
             fill[r["container"]] = fill.get(r["container"], 0) + r["token_to"] - r["token_from"]
             items[r["container"]] = items.get(r["container"], 0) + 1
-        assert max(fill.values()) <= c and max(items.values()) <= c // 16
+        assert max(fill.values()) <= c and max(items.values()) <= max(4, c // 16)
+        loss = {}
+        for r in mine:
+            loss.setdefault(r["container"], []).append(r["loss_tokens"])
+        assert all(sum(x) <= 0.85 * c or sum(map(bool, x)) == 1 for x in loss.values())
         for i in n:
             pieces = sorted((r["piece"], r["token_from"], r["token_to"]) for r in mine if r["doc_id"] == i)
             assert len(pieces) == max(1, math.ceil(n[i] / c))
             assert [a for _, a, _ in pieces] == [k * c for k in range(len(pieces))] and pieces[-1][2] == n[i]
     report = {r["capacity"]: r for r in fill_report(spark.createDataFrame(packed)).collect()}
     assert report[64]["most_tokens"] <= 64
+    assert all(r["by_tokens"] + r["by_segments"] + r["by_loss"] == r["n_containers"] for r in report.values())
     with pytest.raises(ValueError):
         fill_containers(df, "doc_id", "text", [])
     assert fill_containers(df.limit(0), "doc_id", "text", [64]).count() == 0
