@@ -179,6 +179,43 @@ def queued(df: DataFrame, by: str, order: Sequence[str], wanted: Column, length:
     return carried(rows, ["_by", *order], summarise, combine, label, f"{_schema(df)},{name}:bigint", needs=["_by", "_want", "_len"])
 
 
+def summed(df: DataFrame, by: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its group up to and with each, by ``order``, total within ``by``.
+
+    ``value`` is a whole number, null counts as 0. The result is in that order.
+    """
+    columns = df.columns
+    rows = df.withColumns({"_by": key_text(F.col(by)), "_value": F.coalesce(value.cast("bigint"), F.lit(0))})
+
+    def scan(batches: Batches, state: tuple | None):
+        """(batch, sums, state): state is the group of the row before and its sum."""
+        for pdf in batches:
+            group, total = pdf["_by"].to_numpy(), np.cumsum(pdf["_value"].to_numpy(np.int64))
+            firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            before = np.where(firsts > 0, total[firsts - 1], 0)
+            if state is not None and state[0] == group[0]:
+                before[0] = -state[1]
+            total = total - np.repeat(before, np.diff([*firsts, len(pdf)]))
+            state = (group[-1], int(total[-1]))
+            yield pdf, total, state
+
+    def summarise(batches: Batches) -> tuple | None:
+        head, state = None, None
+        for pdf, _, state in scan(batches, None):  # noqa: B007
+            head = head or pdf["_by"].iat[0]
+        return (head, state) if head else None
+
+    def combine(state: tuple | None, summary: tuple) -> tuple:
+        head, end = summary
+        return end if state is None or state[0] != end[0] or head != end[0] else (end[0], state[1] + end[1])
+
+    def label(batches: Batches, state: tuple | None, _: bool) -> Batches:
+        for pdf, total, _state in scan(batches, state):
+            yield pdf.assign(**{name: total})[[*columns, name]]
+
+    return carried(rows, ["_by", *order], summarise, combine, label, f"{_schema(df)},{name}:bigint", needs=["_by", "_value"])
+
+
 def with_next(df: DataFrame, by: str, order: Sequence[str], value: str, name: str) -> DataFrame:
     """``df`` with ``value`` of the next row of its group, null for the last: a scan from the end."""
     columns = df.columns

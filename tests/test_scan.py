@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators.scan import carried, numbered, queued, runs, with_next
+from loomline.operators.scan import carried, numbered, queued, runs, summed, with_next
 from loomline.session import clear, shared_dir, stored
 
 SCHEMA = "g string, k int, v string, d boolean, want long, n long, extra array<struct<a:int>>, run string"
@@ -94,3 +94,19 @@ def test_stored_tables_are_in_the_shared_folder_and_can_be_cleared(spark):
     assert os.listdir(folder)
     clear(spark)
     assert not os.path.exists(folder)
+
+
+def test_running_sums_cross_partitions(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), i, rng.choice([0, 3, -2, 7, None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, i long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["g"], r["i"]): r["total"] for r in summed(df, "g", ["i"], F.col("v"), "total").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, total = {}, {}
+    for g, i, v in rows:
+        total[g] = total.get(g, 0) + (v or 0)
+        want[g, i] = total[g]
+    assert got == want and summed(df.limit(0), "g", ["i"], F.col("v"), "total").count() == 0
