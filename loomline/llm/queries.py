@@ -112,6 +112,22 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     return _mix(spark, base).shares()
 
 
+def _sized_mix(spark: SparkSession, base: str) -> Mix:
+    """The same mixes in characters, four for a token."""
+    targets = table(spark, base, "mix_targets").withColumn("total_tokens", F.col("total_tokens") * 4)
+    return Mix(table(spark, base, "documents", ["doc_id", "n_chars", "source"]), targets, "doc_id", "text", "source", size="n_chars")
+
+
+def p7_sized_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of each mix measured in characters, which SQL can count."""
+    return _sized_mix(spark, base).selection().withColumn("finish", F.round("finish", 6))
+
+
+def p7_sized_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The shares reached in characters."""
+    return _sized_mix(spark, base).shares()
+
+
 def _shared(spark: SparkSession, base: str) -> SharedSpans:
     return SharedSpans(spread(table(spark, base, "documents", ["doc_id", "text"])), "doc_id", "text", min_chars=200)
 
@@ -141,7 +157,7 @@ def p8_passages(spark: SparkSession, base: str) -> DataFrame:
     return _shared(spark, base).passages().withColumnsRenamed({"id_a": "doc_id_a", "id_b": "doc_id_b"})
 
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_classes": p8_classes, "p8_class_pairs": p8_class_pairs, "p8_passages": p8_passages}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_sized_mix": p7_sized_mix, "p7_sized_shares": p7_sized_shares, "p8_found": p8_found, "p8_report": p8_report, "p8_classes": p8_classes, "p8_class_pairs": p8_class_pairs, "p8_passages": p8_passages}
 
 
 
@@ -168,6 +184,21 @@ def _skeleton(x: str) -> str:
     return f"translate(nfc_normalize({x}), '{C.CYRILLIC + C.GREEK + C.KATAKANA_LIKE}', '{C.CYRILLIC_AS_LATIN + C.GREEK_AS_LATIN + C.KATAKANA_AS}')"
 
 
+def _named(x: str) -> str:
+    blank = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}_-"
+    return f"regexp_replace(regexp_replace(lower({x}), '^[{blank}]+|[{blank}]+$', '', 'g'), '[{blank}]+', '_', 'g')"
+
+
+_MIXED = f"""
+WITH d AS (SELECT doc_id, {_named('source')} AS source, n_chars AS n, md5('7:' || doc_id) AS u FROM documents WHERE n_chars > 0 AND source IS NOT NULL),
+v AS (SELECT source, sum(n) AS supply FROM d GROUP BY 1),
+t AS (SELECT mix, {_named('source_name')} AS source, sum(greatest(coalesce(CAST(weight AS DOUBLE), 0.0), 0.0)) AS weight, max(greatest(coalesce(max_repeats, 1), 1)) AS max_repeats, 4 * max(max(total_tokens)) OVER (PARTITION BY mix) AS budget FROM mix_targets GROUP BY 1, 2),
+p AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d),
+c AS (SELECT t.*, supply, unnest(generate_series(1, max_repeats)) AS copy FROM t JOIN v ON v.source = t.source WHERE weight > 0),
+f AS (SELECT mix, c.source, doc_id, copy, n, u, budget, CAST((copy - 1) * supply + upto AS DOUBLE) / weight AS finish FROM c JOIN p ON p.source = c.source),
+r AS (SELECT *, sum(n) OVER (PARTITION BY mix ORDER BY finish, source, copy, u, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM f),
+m AS (SELECT * FROM r WHERE total <= budget)"""
+
 _STRETCHES = """
 WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM d)),
@@ -196,4 +227,10 @@ x AS (SELECT cls, i, k, lead(i) OVER (PARTITION BY cls ORDER BY i) AS following
 p AS (SELECT cls, CAST(sum(least(200, coalesce(following - i, 200))) AS BIGINT) AS part, max(k) - 1 AS most FROM x GROUP BY cls),
 r AS (SELECT doc_id, length(d.text) AS n_chars, CASE WHEN n > 1 THEN length(d.text) ELSE coalesce(part, 0) END AS shared_chars, coalesce(n - 1, 0) AS n_copies, coalesce(most, 0) AS n_texts FROM d LEFT JOIN t ON t.text = d.text LEFT JOIN p ON p.cls = t.cls)
 SELECT doc_id, n_chars, shared_chars, coalesce(round(shared_chars / nullif(n_chars, 0), 6), 0.0) AS shared_part, n_copies, n_texts FROM r""",
+    "p7_sized_mix": f"{_MIXED} SELECT mix, source, doc_id, CAST(copy AS INT) AS copy, n AS n_tokens, round(finish, 6) AS finish, CAST(total AS BIGINT) AS total FROM m",
+    "p7_sized_shares": f"""{_MIXED},
+g AS (SELECT mix, source, sum(n) AS tokens, count(DISTINCT doc_id) AS n_docs, max(copy) AS most_copies FROM m GROUP BY 1, 2),
+e AS (SELECT t.*, coalesce(supply, 0) AS supply, coalesce(tokens, 0) AS tokens, coalesce(n_docs, 0) AS n_docs, coalesce(most_copies, 0) AS most_copies FROM t LEFT JOIN v ON v.source = t.source LEFT JOIN g ON g.mix = t.mix AND g.source = t.source)
+SELECT mix, source, round(weight / nullif(sum(weight) OVER (PARTITION BY mix), 0.0), 6) AS target_share, round(weight / nullif(sum(weight) OVER (PARTITION BY mix), 0.0) * budget, 3) AS target_tokens, CAST(supply AS BIGINT) AS supply_tokens, max_repeats, CAST(tokens AS BIGINT) AS tokens,
+  round(tokens / nullif(budget, 0), 6) AS share_of_total, round(tokens / nullif(sum(tokens) OVER (PARTITION BY mix), 0), 6) AS share_reached, n_docs, CAST(most_copies AS INT) AS most_copies FROM e""",
 }

@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import math
 import os
 import random
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.llm import tokens
-from loomline.llm.mixing import Mix, source_name
+from loomline.llm.mixing import Mix, enough, source_name
 from loomline.llm.packing import fill_containers, fill_report, limits_of, pack
 
 PATH = os.path.join(tokens.FOLDER, tokens.VOCABULARY)
@@ -91,33 +93,69 @@ def mix_of(spark, sizes, targets, **options):
     return Mix(df, t, "doc_id", "text", "source", **options)
 
 
-def test_shares_follow_weights_over_buckets(spark):
+def plain_mix(sizes, targets, seed=7):
+    """The queue row by row: finish times of all copies, sorted, taken until the next is too much."""
+    out = {}
+    for mix in {t[0] for t in targets}:
+        queue, total = [], next(t[4] for t in targets if t[0] == mix)
+        for _, source, weight, repeats, _t in (t for t in targets if t[0] == mix and t[2] and t[2] > 0):
+            docs = sorted((hashlib.md5(f"{seed}:{source}{i}".encode()).hexdigest(), f"{source}{i}", n) for i, n in enumerate(sizes.get(source, [])) if n)
+            upto = 0
+            for copy in range(1, (repeats or 1) + 1):
+                for u, i, n in docs:
+                    upto += n
+                    queue.append((upto / weight, source, copy, u, i, n))
+        taken, got = 0, []
+        for _, source, copy, _u, i, n in sorted(queue):
+            if taken + n > total:
+                break
+            taken += n
+            got.append((i, copy))
+        out[mix] = got
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_selection_is_the_prefix_of_the_queue(spark, seed):
+    rng = random.Random(seed)
+    sizes = {s: [rng.choice([0, 1, 3, 9, 40]) for _ in range(rng.choice([3, 60, 400]))] for s in "abc"}
+    targets = [(m, s, rng.choice([0.5, 1.0, 3.0]), rng.choice([1, 2, 5]), total) for m, total in (("m", 900), ("n", 10**6), ("o", 0)) for s in "abd"]
+    got = mix_of(spark, sizes, targets).selection().collect()
+    assert {m: [(r["doc_id"], r["copy"]) for r in got if r["mix"] == m] for m in "mno"} == plain_mix(sizes, targets)
+    assert [r["total"] for r in got if r["mix"] == "m"] == list(itertools.accumulate(r["n_tokens"] for r in got if r["mix"] == "m"))
+
+
+def test_shares_follow_weights(spark):
     rng = random.Random(3)
     sizes = {"big": [rng.randrange(1, 20) for _ in range(2000)], "Small One": [rng.randrange(1, 20) for _ in range(300)]}
-    m = mix_of(spark, sizes, [("m", "big", 3.0, 1, 8000), ("m", "small_one", 1.0, 1, 8000)], bucket_docs=100)
-    got = m.selection().collect()
-    by = {}
-    for r in got:
-        by[r["source"]] = by.get(r["source"], 0) + r["n_tokens"]
-    assert 5980 <= by["big"] <= 6000 and 1980 <= by["small_one"] <= 2000
-    assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got)
-    assert [r["finish"] for r in got] == sorted(r["finish"] for r in got)
-    assert sum(r["n_tokens"] for r in got[: len(got) // 2] if r["source"] == "big") > 2 * sum(r["n_tokens"] for r in got[: len(got) // 2] if r["source"] == "small_one")
-
-
-def test_repeats_are_capped_and_absent_sources_reported(spark):
+    m = mix_of(spark, sizes, [("m", "big", 3.0, 1, 8000), ("m", "small_one", 0.5, 1, 8000), ("m", " Small-One ", 0.5, 1, 8000)])
+    by = {r["source"]: r for r in m.shares().collect()}
+    assert 5980 <= by["big"]["tokens"] <= 6020 and 1980 <= by["small_one"]["tokens"] <= 2020 and by["small_one"]["target_share"] == 0.25
+    assert 7980 <= sum(r["tokens"] for r in by.values()) <= 8000
+
+
+def test_one_order_at_every_number_of_documents(spark):
+    """A document more changes no place of the others."""
+    orders = []
+    for n in (4999, 5000):
+        got = mix_of(spark, {"a": [1] * n}, [("m", "a", 1.0, 1, 10**6)]).selection().collect()
+        orders.append([r["doc_id"] for r in got if r["doc_id"] != "a4999"])
+    assert orders[0] == orders[1] and len(orders[0]) == 4999
+
+
+def test_repeats_are_capped_and_what_is_short_goes_to_the_others(spark):
     m = mix_of(spark, {"a": [10] * 10, "b": [10] * 100, "z": [5]}, [("m", "a", 1.0, 3, 1000), ("m", "b", 1.0, 9, 1000), ("m", "none", 2.0, 1, 1000), ("m", "z", 0.0, 1, 1000), ("n", "z", None, None, 10)])
     shares = {(r["mix"], r["source"]): r for r in m.shares().collect()}
-    assert shares["m", "a"]["tokens"] == 250 and shares["m", "a"]["most_copies"] == 3
-    assert shares["m", "b"]["tokens"] == 250 and shares["m", "b"]["most_copies"] == 1
+    assert shares["m", "a"]["tokens"] == 300 and shares["m", "a"]["most_copies"] == 3
+    assert shares["m", "b"]["tokens"] == 700 and shares["m", "b"]["most_copies"] == 1
     assert shares["m", "none"]["tokens"] == shares["m", "z"]["tokens"] == shares["n", "z"]["tokens"] == 0
     short = mix_of(spark, {"a": [10] * 3}, [("m", "a", 1.0, 2, 1000)])
     assert short.shares().first()["tokens"] == 60
 
 
-def test_a_document_too_large_for_the_rest_is_passed_over(spark):
-    m = mix_of(spark, {"a": [400] + [7] * 200}, [("m", "a", 1.0, 1, 300)])
-    assert 290 <= m.shares().first()["tokens"] <= 300
+def test_the_time_by_which_a_total_is_reached():
+    assert enough(100, [(1.0, 1000, 0), (3.0, 1000, 0)]) == 25 and enough(100, [(1.0, 1000, 10), (1.0, 20, 10)]) == 100
+    assert enough(100, [(1.0, 60, 0)]) == float("inf") and enough(0, []) == float("inf")
 
 
 def test_sources_in_one_spelling_and_empty_tables(spark):
