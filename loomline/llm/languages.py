@@ -5,7 +5,9 @@ n-grams of a word predicts it. A word's loss against a codeword is the sum of th
 logistic losses, each weighted by how well that bit's classifier does on that language;
 the codeword with the least loss wins, and where the next is close the decision is
 flagged as ambiguous. The losses of the words of a text add up, and the cheapest path
-through them, with a price on each change of language, gives the pieces.
+through them, with a price on each change of language, gives the pieces. A piece whose
+best codeword fits worse than one guessed without any evidence is in a language outside
+the codes: it is rejected.
 
 The classifiers are fitted on a bounded sample of labelled rows; labels may be wrong in
 a part of them, as rows that a first fit contradicts are left out of the second.
@@ -27,9 +29,16 @@ from pyspark.sql import functions as F
 
 from loomline.llm.canonical import INVISIBLE, canonical
 
+#: Languages of a model whose sample names fewer than two.
 LANGUAGES = ("en", "es", "pt", "fr", "de", "tr", "uz", "ru", "ja")
 
-# Names and codes of these languages, as labels write them.
+# Two-letter codes of other languages, as labels write them.
+OTHER_CODES = (
+    "aa ab af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da dv dz ee el eo et eu fa ff fi fj fo fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu "
+    "jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps qu rm rn ro rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw "
+    "ta te tg th ti tk tl tn to ts tt tw ty ug uk ur ve vi vo wa wo xh yi yo za zh zu"
+).split()
+# Names and codes of the common languages, as labels write them.
 NAMES = {
     "en": "en eng english inglés ingles inglês anglais englisch ingilizce ingliz английский 英語",
     "es": "es spa spanish español espanol castellano espanhol espagnol spanisch ispanyolca испанский スペイン語",
@@ -41,11 +50,10 @@ NAMES = {
     "ru": "ru rus russian русский ruso russo russe russisch rusça rus ロシア語",
     "ja": "ja jpn japanese 日本語 japonés japonês japonais japanisch japonca yapon японский",
 }
-_CODE = {name: code for code, names in NAMES.items() for name in names.split()}
+_CODE = {code: code for code in OTHER_CODES} | {name: code for code, names in NAMES.items() for name in names.split()}
 
-#: Longest word that is scored in full; of longer runs of letters the n-grams at both ends count.
-_LONG = 40
-_CACHE = 1 << 18
+#: Words, and characters of words, whose scores a worker keeps.
+_CACHE, _CACHE_CHARS = 1 << 18, 1 << 23
 _UNSEEN = dict.fromkeys(c for a, b in (((0xAD, 0xAD), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFEFF, 0xFEFF), (0x180B, 0x180E), (0xFE00, 0xFE0F))) for c in range(a, b + 1))
 assert all(re.match(f"[{INVISIBLE}]", chr(c)) for c in _UNSEEN)
 _CJK = "ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿ｦ-ﾟ々〆"
@@ -97,17 +105,17 @@ def _key(word: str) -> int:
 
 
 def _features(word: str, size: int) -> list[int]:
-    """Hashed n-grams of 1 to 4 characters and the word itself; none for a run of katakana, which may be a name."""
+    """Hashed n-grams of 1 to 4 characters and the word itself; none for a run of katakana, which may be a name.
+
+    Of a run of unspaced script the 1- and 2-grams of its characters, hiragana more telling than kanji, and of its kinds of characters.
+    """
     if _IS_CJK.match(word):
         shape = _shape(word)
         if "h" not in shape and "c" not in shape:
             return []
-        word = "\u3000" + shape[:8]
-    else:
-        word = _spelled(word)
-        if len(word) > _LONG:
-            word = word[: _LONG // 2] + word[-_LONG // 2 :]
-    w = f"^{word}$"
+        grams = {word[i : i + n] for n in (1, 2) for i in range(len(word) - n + 1)} | {"\u3000" + shape[i : i + n] for n in (1, 2, 3) for i in range(len(shape) - n + 1)}
+        return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % size for g in grams})
+    w = f"^{_spelled(word)}$"
     grams = {w} | {w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)}
     grams -= {"^", "$"}
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % size for g in grams})
@@ -137,6 +145,7 @@ class Model:
     size: int
     lexicon: frozenset = frozenset()
     names: frozenset = frozenset()
+    languages: tuple = LANGUAGES
     known: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -150,51 +159,63 @@ class Model:
                 out[i] = self.weights[f].sum(0) / np.sqrt(len(f))
         return out
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Of each word minus its loss against each codeword, with mean 0 over the languages.
-
-        Words that the sample doesn't have count half, and with a capital, as names do, a tenth.
-        """
-        part = np.array([1.0 if _key(w) in self.lexicon else 0.1 if w[:1].isupper() else 0.5 for w in words])
-        return _decode(self.margins(words), self.code, self.trust) * part[:, None]
+    def parts(self, words: list[str]) -> np.ndarray:
+        """What part of its score a word counts with: words that the sample doesn't have count half, and with a capital, as names do, a tenth."""
+        return np.array([1.0 if _key(w) in self.lexicon else 0.1 if w[:1].isupper() else 0.5 for w in words])
 
     def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of words in a table of scores, and that table; words are scored once a worker."""
-        if "table" not in self.known or len(self.known["table"]) > _CACHE:
-            self.known.update(index={}, table=np.zeros((0, len(self.code))))
+        """Numbers of words in a table of scores, and that table; words are scored once a worker.
+
+        Behind a word's scores stand, for each language, how much worse than without evidence its codeword fits, all NaN for a word without n-grams.
+        """
+        if "table" not in self.known or len(self.known["table"]) > _CACHE or self.known["chars"] > _CACHE_CHARS:
+            self.known.update(index={}, table=np.zeros((0, 2 * len(self.code))), chars=0)
         index = self.known["index"]
         new = list(dict.fromkeys(w for w in words if w not in index))
         if new:
             start = len(index)
             index.update({w: start + i for i, w in enumerate(new)})
-            self.known["table"] = np.concatenate([self.known["table"], self.scores(new)])
+            margins = self.margins(new)
+            loss = _losses(margins, self.code, self.trust)
+            worse = loss - np.log(2) * self.trust.sum(1)
+            worse[~margins.any(1)] = np.nan
+            self.known["table"] = np.concatenate([self.known["table"], np.concatenate([(loss.mean(1, keepdims=True) - loss) * self.parts(new)[:, None], worse], 1)])
+            self.known["chars"] += sum(map(len, new))
         return np.fromiter((index[w] for w in words), np.int64, len(words)), self.known["table"]
 
 
-def _decode(margins: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarray:
+def _losses(margins: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarray:
     loss = np.zeros((len(margins), len(code)))
     for b in range(code.shape[1]):
         plus, minus = np.logaddexp(0, -margins[:, b]), np.logaddexp(0, margins[:, b])
         loss += np.where(code[:, b] > 0, plus[:, None], minus[:, None]) * trust[:, b]
-    return loss.mean(1, keepdims=True) - loss
+    return loss
 
 
-def fit(texts: list[str], labels: list[str], bits: int = 15, size: int = 1 << 16, steps: int = 60, rounds: int = 2) -> Model:
-    """Fit on labelled texts; the result depends on nothing else."""
-    code = code_matrix(len(LANGUAGES), bits)
-    number = {lang: i for i, lang in enumerate(LANGUAGES)}
+def fit(texts: list[str], labels: list[str], bits: int = 15, size: int = 1 << 16, steps: int = 60, rounds: int = 2, least_share: float = 0.002) -> Model:
+    """Fit on labelled texts; the result depends on nothing else.
+
+    The languages are those that ``least_share`` of the labels, and three at least, name.
+    """
+    named = Counter(lab for lab, t in zip(labels, texts) if lab and t)
+    languages = tuple(sorted(lab for lab, n in named.items() if n >= max(3, least_share * named.total())))
+    languages = languages if len(languages) > 1 else tuple(sorted({*LANGUAGES, *languages}))
+    code = code_matrix(len(languages), bits)
+    number = {lang: i for i, lang in enumerate(languages)}
     rows = [(words, number[lab]) for t, lab in zip(texts, labels) if lab in number and t and (words := units(t))]
     model = None
-    for _ in range(rounds):
+    for last in [False] * (rounds - 1) + [True]:
         kept = rows
         if model is not None and rows:
             found, table = model.numbers([w for words, _ in rows for w in words])
             begin = np.cumsum([0, *(len(words) for words, _ in rows[:-1])])
-            best = np.add.reduceat(table[found], begin, axis=0).argmax(1)
+            best = np.add.reduceat(table[found, : len(code)], begin, axis=0).argmax(1)
             kept = [row for row, lang in zip(rows, best) if row[1] == lang]
         counts = Counter((w, lang) for words, lang in kept for w in words)
-        model = _fit(counts, code, size, steps)
+        # a first fit only has to tell wrong labels
+        model = _fit(counts, code, size, steps if last else max(1, steps // 3))
         model.lexicon, model.names = _lexicon(counts, len(code))
+        model.languages = languages
     return model
 
 
@@ -239,16 +260,18 @@ def _fit(counts: Counter, code: np.ndarray, size: int, steps: int) -> Model:
     used, local = np.unique(indices, return_inverse=True)
     plus = share @ (code > 0)  # weight of a word's ones and zeros, by bit
     minus = share @ (code < 0)
-    w = np.zeros((len(used), bits))
-    squares = np.full(w.shape, 1e-12)
+    plus, minus, scale = (x.astype(np.float32) for x in (plus, minus, scale))  # half the memory to move
+    w = np.zeros((len(used), bits), np.float32)
+    squares = np.full(w.shape, 1e-12, np.float32)
+    order = np.argsort(local, kind="stable")  # of all n-grams, those of one place together
+    row_of, edges = np.repeat(np.arange(len(feats)), lengths)[order], np.concatenate([[0], np.cumsum(np.bincount(local, minlength=len(used)))[:-1]])
     for _ in range(steps):
         margin = np.add.reduceat(w[local], begin, axis=0) * scale[:, None]
         p = 1 / (1 + np.exp(-margin))
         slope = ((plus + minus) * p - plus) * scale[:, None]
-        each = np.repeat(slope, lengths, axis=0)
-        grad = np.stack([np.bincount(local, each[:, b], len(used)) for b in range(bits)], 1) + 1e-7 * w
+        grad = np.add.reduceat(slope[row_of], edges, axis=0) + np.float32(1e-7) * w
         squares += grad * grad
-        w -= 0.6 * grad / np.sqrt(squares)
+        w -= np.float32(0.6) * grad / np.sqrt(squares)
     margin = np.add.reduceat(w[local], begin, axis=0) * scale[:, None]
     # trust in a bit for a language: share of its words whose bit is predicted, above chance
     right = np.stack([(share[:, [k]] * (np.sign(margin) == code[k])).sum(0) / max(share[:, k].sum(), 1e-12) for k in range(len(code))])
@@ -259,8 +282,8 @@ def _fit(counts: Counter, code: np.ndarray, size: int, steps: int) -> Model:
     return Model(code, weights, trust, size)
 
 
-#: Price of a change of language, in units of a word's score; margin below which a decision is ambiguous.
-CHANGE, CLEAR = 30.0, 12.0
+#: Price of a change of language, in units of a word's score; margin below which a decision is ambiguous; words from which on a piece may be rejected.
+CHANGE, CLEAR, ENOUGH = 30.0, 12.0, 6
 #: Units of a batch that are scored at once.
 _AT_ONCE = 100_000
 #: Characters of unspaced script that count as a word.
@@ -318,12 +341,13 @@ def _pieces(words: list[str], path: np.ndarray, least_words: int, least_chars: i
     return out
 
 
-def identify(model: Model, texts: list[str | None], change: float = CHANGE, clear: float = CLEAR, least_words: int = 4, least_chars: int = 10) -> Iterator[tuple[int, list[tuple[int, str, float, bool, int, int]]]]:
+def identify(model: Model, texts: list[str | None], change: float = CHANGE, clear: float = CLEAR, least_words: int = 4, least_chars: int = 10) -> Iterator[tuple[int, list[tuple[int, str | None, float, bool, int, int]]]]:
     """Yield (index, pieces) of each text: (piece, language, confidence, ambiguous, first unit, last unit + 1).
 
     One piece, numbered 0, if the text is in one language; else its pieces numbered from 1. A text
-    without units has no piece.
+    without units has no piece. A piece of ENOUGH words and more that is rejected has the language None and confidence 0.
     """
+    width = len(model.code)
     at = 0
     while at < len(texts):
         group, total = [], 0
@@ -340,7 +364,7 @@ def identify(model: Model, texts: list[str | None], change: float = CHANGE, clea
         every = [w for _, words in group for w in words]
         numbers, table = model.numbers(every)
         # a run of unspaced script counts as a word for every few characters
-        s = table[numbers] * np.fromiter((max(1.0, len(w) / _PER_WORD) if w[0] >= "\u3041" and _IS_CJK.match(w) else 1.0 for w in every), float, len(every))[:, None]
+        s = table[numbers, :width] * np.fromiter((max(1.0, len(w) / _PER_WORD) if w[0] >= "\u3041" and _IS_CJK.match(w) else 1.0 for w in every), float, len(every))[:, None]
         lengths = np.array([len(words) for _, words in group])
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         whole = np.add.reduceat(s, begin, axis=0)
@@ -366,7 +390,12 @@ def identify(model: Model, texts: list[str | None], change: float = CHANGE, clea
             for k, (lang, a, b) in enumerate(found, 1):
                 sums = s[begin[i] + a : begin[i] + b].sum(0)
                 margin = float(sums[lang] - np.delete(sums, lang).max())
-                out.append((k if len(found) > 1 else 0, LANGUAGES[lang], float(1 / (1 + np.exp(-margin / clear))), margin < clear, a, b))
+                worse = table[numbers[begin[i] + a : begin[i] + b], width + lang]
+                worse = worse[~np.isnan(worse)]
+                if len(worse) >= ENOUGH and worse.mean() > 0:
+                    out.append((k if len(found) > 1 else 0, None, 0.0, True, a, b))
+                else:
+                    out.append((k if len(found) > 1 else 0, model.languages[lang], float(1 / (1 + np.exp(-margin / clear))), margin < clear, a, b))
             yield index, out
 
 
@@ -386,12 +415,12 @@ def _wordless(model: Model, text: str) -> bool:
     return none_of(units(text[:400])[:-1]) and none_of(units(text))
 
 
-def sample(df: DataFrame, id: str, text: str, label: str, rows: int = 12_000) -> tuple[list[str], list[str]]:
-    """Labelled rows to fit on, at most ``rows`` of them, taken by a hash of the id: the one bounded sample here."""
+def sample(df: DataFrame, id: str, text: str, label: str, rows: int = 12_000, shortest: int = 20, longest: int = 2_000) -> tuple[list[str], list[str]]:
+    """Labelled rows to fit on: at most ``rows`` of those with ``shortest`` to ``longest`` characters, taken by a hash of the id. The one bounded sample here."""
     t, code = F.col(f"`{text}`"), label_column(F.col(f"`{label}`"))
+    named = df.select(F.col(f"`{id}`").alias("id"), t.alias("text"), code.alias("label"), F.xxhash64(F.col(f"`{id}`")).alias("u")).where(F.col("label").isNotNull() & F.length("text").between(shortest, longest))
     # a threshold on the hash first, so that each partition sends its part of the sample and no more
-    n = df.where(code.isNotNull()).count()
-    named = df.select(F.col(f"`{id}`").alias("id"), t.alias("text"), code.alias("label"), F.xxhash64(F.col(f"`{id}`")).alias("u")).where("label IS NOT NULL AND length(text) BETWEEN 20 AND 2000")
+    n = named.count()
     if n > 2 * rows:
         named = named.where(F.col("u") < int(-(2**63) + 2**64 * min(1.0, 1.5 * rows / n)))
     got = named.orderBy("u", "id", "text").limit(rows).select("text", "label").collect()
@@ -411,7 +440,7 @@ def label_languages(df: DataFrame, model: Model, id: str, text: str, label: str)
     confidence, ambiguous, piece_text (null for piece 0). A record whose evidence is thin has its
     nearest language, ambiguous. One without words of any language (null or empty, numbers, names
     of the sample or cries only), or that is as near to two languages, has one row with a null
-    language and confidence 0. Repeated rows come out alike; extra columns are ignored. Nothing is shuffled.
+    language and confidence 0; so has a piece in a language that the model doesn't know. Repeated rows come out alike; extra columns are ignored. Nothing is shuffled.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size

@@ -22,7 +22,8 @@ def p1_languages(spark: SparkSession, base: str) -> DataFrame:
     """Language and confidence of every line and document, and of each piece of a mixed one."""
     lines = spread(table(spark, base, "segments", ["seg_id", "text", "detected_language"]))
     docs = spread(table(spark, base, "documents", ["doc_id", "text", "lang"]))
-    model = fit_on(lines, "seg_id", "text", "detected_language")
+    # both tables' labels, whose texts differ
+    model = fit_on(lines.unionByName(docs.withColumnsRenamed({"doc_id": "seg_id", "lang": "detected_language"})), "seg_id", "text", "detected_language")
     a = label_languages(lines.withColumnRenamed("seg_id", "rec_id"), model, "rec_id", "text", "detected_language")
     b = label_languages(docs.withColumnRenamed("doc_id", "rec_id"), model, "rec_id", "text", "lang")
     return a.withColumn("tbl", F.lit("segments")).unionByName(b.withColumn("tbl", F.lit("documents")))
