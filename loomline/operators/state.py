@@ -125,7 +125,7 @@ def newest_documents(documents: DataFrame, n: int = 30) -> DataFrame:
 
 
 #: Names of the stages of a run, fixed values.
-STAGES = ("Extracting audio", "Separating dialogue", "Finding speakers", "Sampling voices", "Transcribing", "Translating", "Generating voices", "Mixing final audio")
+STAGES = ("Extracting audio", "Separating dialogue", "Finding speakers", "Sampling voices", "Transcribing", "Translating", "Generating Uzbek voices", "Mixing final audio")
 
 
 def stage_of(message: Column) -> Column:

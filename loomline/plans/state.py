@@ -144,7 +144,7 @@ SELECT tbl, series_id, count(*) AS n, max(ep_number) AS last FROM b GROUP BY 1,
     "F11_parts": """WITH p AS (SELECT id, bytes, CAST(ceil(bytes / 8388608) AS BIGINT) AS n FROM episodes)
 SELECT id, CASE WHEN bytes > 0 THEN n END AS n_parts, CASE WHEN bytes > 0 THEN bytes - (n - 1) * 8388608 END AS last_size, coalesce(bytes > 0 AND n < 50, false) AS complete FROM p""",
     "F12_F13_H8_jobs": "SELECT id, title, CAST(floor(epoch(created_at AT TIME ZONE 'UTC')) AS DOUBLE) AS created_at, 'done' AS status FROM episodes ORDER BY coalesce(floor(epoch(created_at AT TIME ZONE 'UTC')), 0) DESC, id LIMIT 30",
-    "F14_stages": f"SELECT seg_id, CASE WHEN seg_idx % 11 BETWEEN 1 AND 8 THEN {list(S.STAGES)}[seg_idx % 11] END AS stage, CASE WHEN seg_idx % 11 BETWEEN 1 AND 8 THEN CAST(seg_idx % 11 * 10 + 5 AS INT) END AS progress FROM segments",
+    "F14_stages": f"SELECT seg_id, CASE WHEN seg_idx % 11 BETWEEN 1 AND 8 THEN ['Extracting audio', 'Separating dialogue', 'Finding speakers', 'Sampling voices', 'Transcribing', 'Translating', 'Generating Uzbek voices', 'Mixing final audio'][seg_idx % 11] END AS stage, CASE WHEN seg_idx % 11 BETWEEN 1 AND 8 THEN CAST(seg_idx % 11 * 10 + 5 AS INT) END AS progress FROM segments",
     "F16_ranges": r"""
 WITH r AS (SELECT id, CAST(bytes AS BIGINT) AS size, unnest(['bytes=0-99', 'bytes=100-', 'bytes=-500', 'bytes=5-2', 'bytes=99999999999-', 'items=1-2', 'bytes=7-99999999999']) AS header FROM episodes),
 x AS (SELECT *, regexp_extract(header, '^bytes=(\d*)-(\d*)$', 1) AS a, regexp_extract(header, '^bytes=(\d*)-(\d*)$', 2) AS b FROM r),

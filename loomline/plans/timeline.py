@@ -245,7 +245,7 @@ SELECT media_id, seg_id, round(room, 6) AS room_s, CAST(cap AS DOUBLE) AS cap, C
     "B15_plan": _RECURSIVE + " SELECT media_id, seg_id, round(planned_start, 6) AS planned_start, CAST(round(speed, 6) AS DOUBLE) AS speed, round(spoken, 6) AS spoken FROM f",
     "B16_lateness": _RECURSIVE + " SELECT media_id, count(*) AS n_lines, count(*) FILTER (planned_start - start_ms / 1000 > 0.05) AS n_late, round(coalesce(max(planned_start - start_ms / 1000) FILTER (planned_start - start_ms / 1000 > 0.05), 0.0), 6) AS worst_delay FROM f GROUP BY media_id",
     "B18_mix": f"""{_T},
-c AS (SELECT *, least(end_ms - start_ms, 30000) AS n, max(end_ms) OVER (PARTITION BY media_id) AS track, coalesce(sum(least(end_ms - start_ms, 30000)) OVER (PARTITION BY media_id ORDER BY start_ms, seg_idx, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM l),
+c AS (SELECT *, end_ms - start_ms AS n, max(end_ms) OVER (PARTITION BY media_id) AS track, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY media_id ORDER BY start_ms, seg_idx, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM l),
 p AS (SELECT media_id, n, track, CAST(used + max(start_ms - used) OVER {_RW} AS BIGINT) AS pos FROM c),
 z AS (SELECT media_id, max(greatest(track, pos + n)) AS fin FROM p GROUP BY 1),
 fr AS (SELECT media_id, unnest(generate_series(0, CAST(floor((fin - 1) / 1000) AS BIGINT))) AS frame FROM z),
