@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.scan import with_next
+
 SORTS = ("popular", "newest", "alphabetical")
 
 
@@ -141,5 +143,6 @@ def featured_series(series: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def with_neighbours(episodes: DataFrame) -> DataFrame:
     """Every episode with previous_id and next_id in its series by number, null at the ends."""
-    w = Window.partitionBy("series_id").orderBy("ep_number", "id")
-    return episodes.withColumns({"previous_id": F.lag("id").over(w), "next_id": F.lead("id").over(w)})
+    after = with_next(episodes, "series_id", ["ep_number", "id"], "id", "next_id")
+    before = after.where("next_id IS NOT NULL").select(F.col("next_id").alias("id"), F.col("id").alias("previous_id"))
+    return after.join(before, "id", "left").select(*episodes.columns, "previous_id", "next_id")

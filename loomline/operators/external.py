@@ -6,7 +6,7 @@ first use. The stand-ins need no model: they let the dataflow be run and tested.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators import timeline as T
+from loomline.operators import vectors as V
+from loomline.session import stored
+
 KINDS = ("separator", "diarizer", "transcriber", "translator", "synthesizer", "speech_mask", "embedder")
 
 
@@ -136,6 +140,61 @@ def separate_frames(registry: Registry, name: str, frames: DataFrame) -> DataFra
     return frames.select("media_id", "frame", "samples").mapInPandas(run, f"media_id {kind}, track string, frame long, samples array<double>")
 
 
+def diarized(registry: Registry, name: str, frames: DataFrame, speakers: int | None = None) -> DataFrame:
+    """Turns of media items by a slot ``f(registry, frames, speakers) -> turns``, which plans over whole tables.
+
+    ``frames``: media_id, frame, samples, one a second; turns: media_id, start_ms, end_ms, speaker_id. ``speakers`` is how many
+    there are in each item, if known. The factory is called on the driver; models that it needs come from other slots, in the workers.
+    """
+    return registry.get("diarizer", name)()(registry, frames, speakers)
+
+
+def transcribed(registry: Registry, name: str, turns: DataFrame, rate: int, names: Sequence[str] = ()) -> DataFrame:
+    """Timed words of turns by a slot ``f(samples, rate, names) -> [(text, start_ms, end_ms)]``, times from the turn's start.
+
+    ``turns``: media_id, seg_id, speaker_id, start_ms, samples; a null or empty sound has no words. Columns: media_id, seg_id,
+    speaker_id, word_idx, text, start_ms, end_ms. ``names`` are those that the model shall know.
+    """
+    factory, known = registry.get("transcriber", name), list(names)
+    kind = turns.schema["media_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = built("transcriber", name, factory)
+        for pdf in batches:
+            rows = []
+            for media, seg, speaker, start, samples in zip(pdf["media_id"], pdf["seg_id"], pdf["speaker_id"], pdf["start_ms"], pdf["samples"]):
+                words = model(np.asarray(samples, float), rate, known) if samples is not None and len(samples) else []
+                rows += [(media, seg, speaker, i, text, start + a, start + b) for i, (text, a, b) in enumerate(words)]
+            yield pd.DataFrame(rows, columns=["media_id", "seg_id", "speaker_id", "word_idx", "text", "start_ms", "end_ms"])
+
+    return turns.select("media_id", "seg_id", "speaker_id", "start_ms", "samples").mapInPandas(run, f"media_id {kind}, seg_id long, speaker_id string, word_idx int, text string, start_ms long, end_ms long")
+
+
+def by_clustering(registry: Registry, frames: DataFrame, speakers: int | None = None) -> DataFrame:
+    """Diarizer: frames with speech are embedded and clustered within their item, and regions of speech named by the clusters in them."""
+    speech = stored(flag_frames(registry, "energy", frames).where("is_speech").select("media_id", "frame"))
+    voices = V.clustered(embed_frames(registry, "spectrum", frames.join(speech, ["media_id", "frame"], "left_semi")), "media_id", "frame", "vector", k=speakers, distance=0.4)
+    voices = stored(voices)
+    second = lambda c: ((c * 1000).alias("w_start"), ((c + 1) * 1000).alias("w_end"))
+    windows = voices.select("media_id", *second(F.col("frame")), F.col("cluster").cast("string").alias("label"))
+    spans = speech.select("media_id", *second(F.col("frame"))).withColumnsRenamed({"w_start": "start_ms", "w_end": "end_ms"})
+    return T.identify_regions(T.speech_regions(spans), windows)
+
+
+def by_one_voice(registry: Registry, frames: DataFrame, speakers: int | None = None) -> DataFrame:
+    """Diarizer: one turn of SPEAKER_00 over each item."""
+    ends = frames.groupBy("media_id").agg(((F.max("frame") + 1) * 1000).cast("double").alias("end_ms"))
+    return ends.select("media_id", F.lit(0.0).alias("start_ms"), "end_ms", F.lit(T.DEFAULT_SPEAKER).alias("speaker_id"))
+
+
+def _lengths(samples: np.ndarray, rate: int, names: Sequence[str]) -> list[tuple[str, int, int]]:
+    """Stand-in for a transcriber: a stretch of sound is a word of a letter for each 60 ms."""
+    step = max(1, int(0.06 * rate))
+    loud = np.abs(samples[: len(samples) // step * step].reshape(-1, step)).max(1) > 0.05 if len(samples) >= step else np.zeros(0, bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], loud.view(np.int8), [0]])))
+    return [("x" * (b - a), int(a) * 60, int(b) * 60) for a, b in zip(edges[::2], edges[1::2])]
+
+
 class _Tone:
     """A tone for each letter: as long as a text at 0.06 s a character, over its speed."""
 
@@ -154,9 +213,9 @@ def stand_ins() -> Registry:
     """A registry of deterministic stand-ins for every slot."""
     r = Registry()
     r.add("separator", "halves", lambda: lambda x: (np.where(np.abs(x) >= 0.1, x, 0.0), np.where(np.abs(x) < 0.1, x, 0.0)))
-    r.add("diarizer", "clustering", lambda: None)
-    r.add("diarizer", "single", lambda: None)
-    r.add("transcriber", "given", lambda: None)
+    r.add("diarizer", "clustering", lambda: by_clustering)
+    r.add("diarizer", "single", lambda: by_one_voice)
+    r.add("transcriber", "lengths", lambda: _lengths)
     r.add("translator", "tagged", lambda: _tagged)
     r.add("synthesizer", "tone", _Tone)
     r.add("speech_mask", "energy", lambda: lambda x: bool(len(x) and np.sqrt((x * x).mean()) > 0.06))

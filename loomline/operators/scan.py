@@ -216,6 +216,26 @@ def summed(df: DataFrame, by: str, order: Sequence[str], value: Column, name: st
     return carried(rows, ["_by", *order], summarise, combine, label, f"{_schema(df)},{name}:bigint", needs=["_by", "_value"])
 
 
+def counted(df: DataFrame, by: str, order: Sequence[str], name: str, first: int = 1) -> DataFrame:
+    """``df`` with the place of each row in its group by ``order``, total within it, from ``first``."""
+    return summed(df, by, order, F.lit(1), name).withColumn(name, F.col(name) + (first - 1))
+
+
+def medians(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Median of ``value`` of each group: ``by``, ``name`` and its count ``n``. Nulls don't count; a null in ``by`` is a value.
+
+    Values are first counted, so equal ones are one row, and the middle places are found by an ordered scan: no
+    group's values are gathered.
+    """
+    key = F.concat_ws("\x1f", *[key_text(F.col(c)) for c in by])
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_k", key)
+    upto = summed(per, "_k", ["_v"], F.col("_c"), "_upto")
+    total = per.groupBy("_k").agg(F.sum("_c").alias("n"))
+    middle = upto.join(total, "_k").where((F.col("_upto") >= F.floor((F.col("n") + 1) / 2)) & (F.col("_upto") - F.col("_c") < F.floor(F.col("n") / 2) + 1))
+    # one value holds both middle places, or two hold one each
+    return middle.groupBy(*by, "n").agg(F.avg("_v").alias(name)).select(*by, name, "n")
+
+
 def with_next(df: DataFrame, by: str, order: Sequence[str], value: str, name: str) -> DataFrame:
     """``df`` with ``value`` of the next row of its group, null for the last: a scan from the end."""
     columns = df.columns

@@ -133,28 +133,34 @@ def linkage(vectors: np.ndarray) -> list[tuple[float, int, int]]:
     Chains of nearest neighbours: every merge is one of mutual nearest clusters, which for average
     linkage gives the same tree as taking the closest pair of all each time.
     """
-    n = len(vectors)
-    unit = _unit(np.asarray(vectors, float))
-    far = 1.0 - unit @ unit.T
-    np.fill_diagonal(far, np.inf)
+    # the mean cosine of two clusters is the product of the sums of their unit vectors over their sizes: no matrix of distances
+    total = _unit(np.asarray(vectors, float)).copy()
+    n = len(total)
     size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+
+    def apart(i: int) -> np.ndarray:
+        far = 1.0 - (total @ total[i]) / (size * size[i])
+        far[~alive] = np.inf
+        far[i] = np.inf
+        return far
+
+    start = 0
     for _ in range(n - 1):
         if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
+            while not alive[start]:
+                start += 1
+            chain = [start]
         while True:
-            at = chain[-1]
-            near = int(np.argmin(far[at]))
-            if len(chain) > 1 and far[at, chain[-2]] <= far[at, near]:
-                near = chain[-2]
-            if len(chain) > 1 and near == chain[-2]:
+            far = apart(chain[-1])
+            near = int(np.argmin(far))
+            # of equal distances back to where the chain comes from, so that it ends
+            if len(chain) > 1 and far[chain[-2]] <= far[near] + 1e-12:
                 break
             chain.append(near)
+        height = float(far[chain[-2]])
         a, b = chain.pop(), chain.pop()
-        merges.append((float(far[a, b]), a, b))
-        row = (size[a] * far[a] + size[b] * far[b]) / (size[a] + size[b])
-        row[a] = np.inf
-        far[a], far[:, a] = row, row
-        far[b], far[:, b] = np.inf, np.inf
+        merges.append((height, a, b))
+        total[a] += total[b]
         size[a] += size[b]
         alive[b] = False
     return sorted(merges, key=lambda m: m[0])
@@ -188,17 +194,15 @@ def clusters(vectors: np.ndarray, k: int | None = None, distance: float = 0.40,
     return np.array([first.setdefault(find(i), len(first)) for i in range(n)])
 
 
-def clustered(df: DataFrame, by: str, id: str, vector: str, k: int | None = None, distance: float = 0.40, most: int = 12, largest: int = 20_000) -> DataFrame:
+def clustered(df: DataFrame, by: str, id: str, vector: str, k: int | None = None, distance: float = 0.40, most: int = 12) -> DataFrame:
     """Cluster of each vector within its group: ``by``, ``id``, cluster.
 
-    A group is the windows of one media item; its vectors have one length, null and empty ones are left out. Average linkage needs all distances of a group, so a group of
-    more than ``largest`` vectors is an error, never a part of it dropped.
+    A group is the windows of one media item; its vectors have one length, null and empty ones are left out. A group is
+    clustered in one task: its vectors are held once, no distances are, and the time grows with the square of their number.
     """
     schema = T.StructType([df.schema[by], df.schema[id], T.StructField("cluster", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > largest:
-            raise ValueError(f"a group has {len(pdf)} vectors; average linkage takes {largest} at most")
         pdf = pdf.sort_values(id)
         return pdf[[by, id]].assign(cluster=clusters(np.stack(pdf[vector].to_numpy()), k, distance, most).astype(np.int32))
 

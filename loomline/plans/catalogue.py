@@ -49,11 +49,18 @@ def _first_series(spark: SparkSession, base: str) -> str:
     return top["series_id"] if top else ""
 
 
+def _special_signs(spark: SparkSession, base: str) -> DataFrame:
+    """A search for signs that patterns treat as wild, in titles of which a third hold them."""
+    signed = F.when(F.length("title") % 3 == 0, F.concat("title", F.lit(" 50%_off!"))).otherwise(F.col("title"))
+    series = _series(spark, base).withColumn("title", signed)
+    return C.list_series(series, _episodes(spark, base), sort="alphabetical", query="0%_OFF!").select(*_OUT)
+
+
 QUERIES = {
     "A1_A2_A7_A10_popular_series": _listed(sort="popular", limit=20),
     "A1_A2_series_aggregates": lambda s, b: C.series_with_episodes(_series(s, b), _episodes(s, b)).select(*_OUT),
     "A3_A4_A5_A6_search": _listed(sort="newest", genre="drama", query="the"),
-    "A5_A6_search_special_signs": _listed(sort="alphabetical", query="%"),
+    "A5_A6_search_special_signs": _special_signs,
     "A4_genre": _listed(sort="newest", genre="ACTION"),
     "A8_newest_series": _listed(sort="newest", limit=20),
     "A9_alphabetical_series": _listed(sort="alphabetical"),
@@ -92,7 +99,7 @@ SQL = {
     "A1_A2_A7_A10_popular_series": f"{_AGG} SELECT {_COLS} FROM a ORDER BY {_POPULAR} LIMIT 20",
     "A1_A2_series_aggregates": f"{_AGG} SELECT {_COLS} FROM a",
     "A3_A4_A5_A6_search": f"{_AGG} SELECT {_COLS} FROM a WHERE {_TOKEN.format('drama')} AND {_FOUND.format('%the%')}",
-    "A5_A6_search_special_signs": f"{_AGG} SELECT {_COLS} FROM a WHERE {_FOUND.format('%!%%')}",
+    "A5_A6_search_special_signs": f"{_AGG.replace('FROM series s', 'FROM (SELECT * REPLACE (CASE WHEN length(title) % 3 = 0 THEN title || chr(32) || chr(53) || chr(48) || chr(37) || chr(95) || $$off!$$ ELSE title END AS title) FROM series) s')} SELECT {_COLS} FROM a WHERE {_FOUND.format('%0!%!_OFF!!%')}",
     "A4_genre": f"{_AGG} SELECT {_COLS} FROM a WHERE {_TOKEN.format('action')}",
     "A8_newest_series": f"{_AGG} SELECT {_COLS} FROM a ORDER BY {_NEWEST} LIMIT 20",
     "A9_alphabetical_series": f"{_AGG} SELECT {_COLS} FROM a",

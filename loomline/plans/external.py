@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
 from loomline.operators import external as E
 from loomline.operators import signals as G
 from loomline.operators import timeline as T
-from loomline.operators import vectors as V
+from loomline.operators.scan import counted
 from loomline.plans.text import GLOSSARY
 from loomline.sources.tables import table
 
@@ -17,8 +17,7 @@ from loomline.sources.tables import table
 def _frames(spark: SparkSession, base: str) -> DataFrame:
     """Ten events of a user in order of time are a frame."""
     e = table(spark, base, "events", ["event_id", "user_id", "ts", "value"])
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    rows = e.select(F.col("user_id").alias("media_id"), n.alias("n"), ((F.col("value") - 30) / 500).alias("x")).withColumn("frame", F.floor(F.col("n") / 10))
+    rows = counted(e, "user_id", ["ts", "event_id"], "n", first=0).select(F.col("user_id").alias("media_id"), "n", ((F.col("value") - 30) / 500).alias("x")).withColumn("frame", F.floor(F.col("n") / 10))
     return rows.groupBy("media_id", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("samples"))
 
 
@@ -31,14 +30,25 @@ def _separated(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _diarized(spark: SparkSession, base: str) -> DataFrame:
-    """Speech frames embedded, clustered by media item, and their runs by voice."""
+    """Who speaks in each user's frames, by the diarizer that is picked without a token."""
     r = E.stand_ins()
-    frames = _frames(spark, base)
-    speech = E.flag_frames(r, "energy", frames).where("is_speech").select("media_id", "frame")
-    voices = V.clustered(E.embed_frames(r, "spectrum", frames.join(speech, ["media_id", "frame"], "left_semi")), "media_id", "frame", "vector", distance=0.4)
-    windows = voices.select("media_id", (F.col("frame") * 1000).alias("w_start"), ((F.col("frame") + 1) * 1000).alias("w_end"), F.col("cluster").cast("string").alias("label"))
-    regions = T.speech_regions(speech.select("media_id", (F.col("frame") * 1000).alias("start_ms"), ((F.col("frame") + 1) * 1000).alias("end_ms")))
-    return T.identify_regions(regions, windows)
+    return E.diarized(r, E.pick_diarizer("auto", False, r.names("diarizer")), _frames(spark, base))
+
+
+def _single(spark: SparkSession, base: str) -> DataFrame:
+    """One turn over all frames of each user, by the diarizer for a single speaker."""
+    return E.diarized(E.stand_ins(), "single", _frames(spark, base))
+
+
+def _spelled(spark: SparkSession, base: str) -> DataFrame:
+    """Turns whose sound says how long their words are, through the transcriber."""
+    r = E.stand_ins()
+    lines = T.timeline(table(spark, base, "segments", ["media_id", "seg_id", "start_s", "end_s", "speaker_id", "text"])).where("text <> ''")
+    # 15 samples a sign, loud for letters and silent for blanks
+    sound = F.flatten(F.transform(F.split(F.regexp_replace("text", r"(?U)\s", " "), ""), lambda c: F.array_repeat(F.when(c == " ", 0.0).otherwise(0.2), 15)))
+    turns = lines.select("media_id", "seg_id", "speaker_id", "start_ms", sound.alias("samples"))
+    words = E.transcribed(r, "lengths", turns, rate=250, names=["Anna"])
+    return words.groupBy("seg_id", "speaker_id").agg(F.count(F.lit(1)).alias("n_words"), F.sum(F.length("text")).alias("n_letters"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
 
 
 def _transcribed(spark: SparkSession, base: str) -> DataFrame:
@@ -76,7 +86,8 @@ def _dataflow(spark: SparkSession, base: str) -> DataFrame:
     ready = lines.withColumn("protected", X.protect(plain, GLOSSARY))
     said = ready.withColumn("raw", E.translate_column(r, "tagged", F.col("protected"), X.source_language(F.col("detected_language"), None), "uz"))
     said = said.withColumn("translated", X.restore(F.col("raw"), X.fired(F.col("protected"), GLOSSARY)))
-    timed = said.select("media_id", "seg_id", "seg_idx", "start_ms", "end_ms", "speaker_id", "translated", F.round(F.length("translated") * 0.06, 3).alias("natural"), F.max("end_ms").over(Window.partitionBy("media_id")).alias("track_end"))
+    ends = lines.groupBy("media_id").agg(F.max("end_ms").alias("track_end"))
+    timed = said.join(ends, "media_id").select("media_id", "seg_id", "seg_idx", "start_ms", "end_ms", "speaker_id", "translated", F.round(F.length("translated") * 0.06, 3).alias("natural"), "track_end")
     plan = T.plan_speeds(timed, "natural", "track_end")
     level = F.least(F.lit(0.3), F.length("translated") / 1000)
     planned = plan.withColumn("level", level)
@@ -86,6 +97,8 @@ def _dataflow(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     "J1_separated": _separated,
     "J2_J8_J9_diarized": _diarized,
+    "J2_single": _single,
+    "J3_words_of_sound": _spelled,
     "J3_transcribed": _transcribed,
     "J4_translated": _translated,
     "J5_spoken": _spoken,
@@ -112,3 +125,8 @@ u AS (SELECT media_id, start_ms, end_ms, seg_idx, seg_id, speaker_id FROM l WHER
 j AS (SELECT p.media_id, p.word_id, arg_min(u.speaker_id, {'c': CASE WHEN u.start_ms <= middle AND middle < u.end_ms THEN 0 ELSE 1 END, 'd': CASE WHEN u.start_ms <= middle AND middle < u.end_ms THEN 0 ELSE least(abs(u.start_ms - middle), abs(u.end_ms - middle)) END, 's': u.start_ms, 'i': u.seg_idx, 'g': u.seg_id}) AS speaker
       FROM p LEFT JOIN u ON u.media_id = p.media_id GROUP BY 1, 2)
 SELECT media_id, coalesce(speaker, 'SPEAKER_00') AS speaker, count(*) AS n_words FROM j GROUP BY 1, 2"""
+SQL["J2_single"] = "SELECT user_id AS media_id, 0.0::DOUBLE AS start_ms, ((count(*) + 9) // 10 * 1000)::DOUBLE AS end_ms, 'SPEAKER_00' AS speaker_id FROM events GROUP BY 1"
+SQL["J3_words_of_sound"] = rf"""
+WITH t AS (SELECT *, CAST(round(start_s * 1000) AS BIGINT) AS start_ms, CAST(round(end_s * 1000) AS BIGINT) AS end_ms, regexp_replace(text, '{_BLANK}', ' ', 'g') AS plain FROM segments WHERE media_id IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s)),
+l AS (SELECT * FROM t WHERE end_ms > start_ms AND length(replace(plain, ' ', '')) > 0)
+SELECT seg_id, speaker_id, len(list_filter(string_split(plain, ' '), lambda w: w <> '')) AS n_words, length(replace(plain, ' ', '')) AS n_letters, start_ms + 60 * (length(plain) - length(ltrim(plain, ' '))) AS first_ms, start_ms + 60 * length(rtrim(plain, ' ')) AS last_ms FROM l"""

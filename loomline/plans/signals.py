@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.operators import signals as S
 from loomline.operators import timeline as T
-from loomline.sources.tables import table
+from loomline.operators.scan import counted
+from loomline.session import stored
+from loomline.sources.tables import spread, table
 
 _FRAME, _LINE, _RATE = 5, 20, 250
 
 
 def _signal(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "events", ["event_id", "user_id", "ts", "value"])
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("media_id"), n.cast("long").alias("n"), ((F.col("value") - 30) / 500).alias("x"))
+    rows = counted(e, "user_id", ["ts", "event_id"], "n", first=0)
+    return rows.select(F.col("user_id").alias("media_id"), "n", ((F.col("value") - 30) / 500).alias("x"))
 
 
 def _lines(spark: SparkSession, base: str) -> DataFrame:
@@ -102,12 +106,34 @@ def _mono(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _slices(spark: SparkSession, base: str) -> DataFrame:
-    ends = F.max("end_ms").over(Window.partitionBy("media_id"))
-    rows = _timed(spark, base).withColumn("length", F.floor(ends * 8))
+    lines = _timed(spark, base)
+    rows = lines.join(lines.groupBy("media_id").agg(F.floor(F.max("end_ms") * 8).alias("length")), "media_id")
     span = S.sample_bounds(F.col("start_ms") / 1000, F.col("end_ms") / 1000, 8000, F.col("length"))
     return rows.select("media_id", "seg_id", span["first"].alias("first"), span["stop"].alias("stop"))
 
 
+def _tones(spark: SparkSession, base: str) -> DataFrame:
+    """A tone for each line: 0.4 s of 100, 200 or 300 Hz in four strengths, silence where nothing is said."""
+    t = spread(table(spark, base, "segments", ["media_id", "seg_id", "speaker_id", "text"]))
+    hz, loud = (F.col("seg_id") % 3 + 1) * 100, F.when(F.col("text").rlike(r"(?U)\S"), (F.col("seg_id") % 4 + 1) * 0.05).otherwise(F.lit(0.0))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda n: loud * F.sin(2 * math.pi * hz * n / 4000))
+    return t.withColumns({"hz": hz, "line": F.col("seg_id"), "samples": wave})
+
+
+def _pitches(spark: SparkSession, base: str) -> DataFrame:
+    """Of each line's tone: whether the tracker hears a voice all along, and its pitch within a hundredth."""
+    tones = _tones(spark, base)
+    heard = S.pitched(tones, 4000).join(tones.select("line", "hz"), "line")
+    return heard.select(F.col("line").alias("seg_id"), F.col("hz").cast("int").alias("hz"), (F.col("voiced") > 0.95).alias("is_voiced"), (F.abs(F.col("pitch") - F.col("hz")) < F.col("hz") / 100).alias("is_found"), F.round("level", 6).alias("level"))
+
+
+def _tracked(spark: SparkSession, base: str) -> DataFrame:
+    """Deliveries of lines from their tracked pitch."""
+    tones = _tones(spark, base)
+    heard = stored(S.pitched(tones, 4000).drop("media_id").withColumns({"pitch": F.round("pitch"), "level": F.round("level", 6)}))
+    return S.deliveries(heard.join(tones.select("line", "media_id", "speaker_id", "text"), "line")).select(F.col("line").alias("seg_id"), "delivery")
+
+
 def _mastered(spark: SparkSession, base: str) -> DataFrame:
     s = _signal(spark, base).withColumn("line", F.floor(F.col("n") / 200))
     arrays = s.groupBy("media_id", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v["x"]).alias("samples"), S.rms(F.col("x")).alias("level"))
@@ -121,6 +147,8 @@ QUERIES = {
     "D4_D5_D6_targets": _targets,
     "D7_D12_D13_deliveries": _gains,
     "D8_D9_D10_mastered": _mastered,
+    "D11_pitch": _pitches,
+    "D11_D12_tracked": _tracked,
     "D14_D22_takes": _takes,
     "D15_dynamic_range": _ranges,
     "D16_clip_scores": _scores,
@@ -156,6 +184,9 @@ t AS (SELECT *, CAST(round(start_s * 1000) AS BIGINT) AS start_ms, CAST(round(en
 l AS (SELECT * FROM t WHERE end_ms > start_ms)"""
 _O = "PARTITION BY media_id ORDER BY start_ms, seg_idx, seg_id"
 _SIGNS = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
+_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TOLD = f"len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> ''))"
+_TONES = f"tn AS (SELECT *, (seg_id % 3 + 1) * 100 AS hz, CASE WHEN regexp_matches(coalesce(text, ''), '[^{_SPACE[1:-1]}]') THEN round((seg_id % 4 + 1) * 0.05::DOUBLE / sqrt(2), 6) ELSE 0.0 END AS level FROM segments)"
 
 SQL = {
     "D1_slices": f"WITH {_L} SELECT media_id, seg_id, CAST(greatest(0, floor(start_ms / 1000 * 8000)) AS BIGINT) AS first, CAST(least(max(end_ms) OVER (PARTITION BY media_id) * 8, floor(end_ms / 1000 * 8000)) AS BIGINT) AS stop FROM l",
@@ -173,6 +204,15 @@ r AS (SELECT ln.*, level / scene AS e, scene, CASE WHEN pitch > 0 AND c >= 3 THE
 d AS (SELECT *, CASE WHEN level > 1e-4 AND scene > 0 THEN CASE WHEN e > 1.7 AND coalesce(pr > 1.4, false) THEN 'surprised' WHEN e > 1.7 THEN 'angry' WHEN sh THEN 'happy' WHEN qu AND (e >= 0.9 OR words <= 5) THEN 'surprised'
   WHEN e < 0.45 AND NOT qu THEN 'whispers' WHEN e > 1.35 THEN 'angry' WHEN e < 0.6 AND coalesce(pr < 0.85, false) THEN 'sad' ELSE 'calm' END END AS delivery FROM r)
 SELECT media_id, line, delivery, CAST(round(CASE WHEN level > 1e-6 THEN least(CASE delivery {" ".join(f"WHEN '{k}' THEN {v}" for k, v in S.PRESET_LEVELS.items())} ELSE 0.1 END / level, 6.0) ELSE 1.0 END, 6) AS DOUBLE) AS gain FROM d""",
+    "D11_pitch": f"WITH {_TONES} SELECT seg_id, CAST(hz AS INT) AS hz, level > 0 AS is_voiced, level > 0 AS is_found, level FROM tn",
+    "D11_D12_tracked": f"""WITH {_TONES},
+ln AS (SELECT seg_id, media_id, speaker_id, coalesce(text, '') AS text, level, CASE WHEN level > 0 THEN hz ELSE 0 END AS pitch FROM tn),
+sc AS (SELECT media_id, median(level) AS scene FROM ln WHERE level > 0 GROUP BY 1),
+vo AS (SELECT media_id, speaker_id, median(pitch) AS mp, count(*) AS c FROM ln WHERE pitch > 0 GROUP BY 1, 2),
+r AS (SELECT ln.*, level / scene AS e, scene, CASE WHEN pitch > 0 AND c >= 3 THEN pitch / mp END AS pr, regexp_matches(text, '[!！¡]') AS sh, regexp_matches(text, '[?？¿]') AS qu, {_TOLD} AS words
+  FROM ln LEFT JOIN sc ON sc.media_id = ln.media_id LEFT JOIN vo ON vo.media_id = ln.media_id AND vo.speaker_id IS NOT DISTINCT FROM ln.speaker_id)
+SELECT seg_id, CASE WHEN level > 1e-4 AND scene > 0 THEN CASE WHEN e > 1.7 AND coalesce(pr > 1.4, false) THEN 'surprised' WHEN e > 1.7 THEN 'angry' WHEN sh THEN 'happy' WHEN qu AND (e >= 0.9 OR words <= 5) THEN 'surprised'
+  WHEN e < 0.45 AND NOT qu THEN 'whispers' WHEN e > 1.35 THEN 'angry' WHEN e < 0.6 AND coalesce(pr < 0.85, false) THEN 'sad' ELSE 'calm' END END AS delivery FROM r""",
     "D14_D22_takes": f"""WITH {_LN},
 t AS (SELECT media_id, line // 3 AS item, CAST(line % 3 + 1 AS INT) AS attempt, round(level, 9) AS level, round(pitch / 4, 9) AS voiced FROM ln),
 u AS (SELECT *, level >= 1e-3 AND voiced >= 0.15 AS ok FROM t),

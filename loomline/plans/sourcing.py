@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.operators.scan import counted
 from loomline.operators.state import scratch
 from loomline.sources import files as S
 from loomline.sources.tables import table
@@ -15,8 +16,8 @@ _RATE = 8000
 def _signals(spark: SparkSession, base: str) -> DataFrame:
     """Values of each user's events as samples."""
     e = table(spark, base, "events", ["event_id", "user_id", "ts", "value"])
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").cast("string").alias("media_id"), n.cast("long").alias("n"), (F.floor((F.col("value") / 500 - 0.5) * 32768) / 32768).alias("x"))
+    rows = counted(e, "user_id", ["ts", "event_id"], "n", first=0)
+    return rows.select(F.col("user_id").cast("string").alias("media_id"), "n", (F.floor((F.col("value") / 500 - 0.5) * 32768) / 32768).alias("x"))
 
 
 def _wavs(spark: SparkSession, base: str) -> DataFrame:

@@ -99,8 +99,10 @@ def _parsed(spark: SparkSession, base: str) -> DataFrame:
     p = S.progress(_history(spark, base))
     item = F.to_json(F.struct(F.col("episode_id").alias("episodeId"), F.col("time_s").alias("time"), "duration"))
     raw = p.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("raw"), F.count(F.lit(1)).alias("n"))
-    broken = F.when(F.xxhash64("user_id") % 5 == 0, F.lit("{}")).when(F.col("user_id").isNull(), F.lit("[oops")).otherwise(F.col("raw"))
-    return raw.select("user_id", (F.size(S.parsed_history(broken)) == F.when(F.xxhash64("user_id") % 5 == 0, 0).otherwise(F.col("n"))).alias("as_stored"))
+    sign = F.substring(F.md5("user_id"), 1, 1)
+    broken = F.when(sign.isin("0", "1", "2"), F.lit("{}")).when(sign.isin("3", "4"), F.lit("[oops")).otherwise(F.col("raw"))
+    return raw.select("user_id", F.size(S.parsed_history(broken)).alias("n_read"))
+
 
 
 QUERIES = {
@@ -155,5 +157,5 @@ SELECT id, header, CASE WHEN NOT (f >= size OR l < f) THEN f END AS first, CASE
 WITH h AS (SELECT episode_id, max(duration) AS played FROM history GROUP BY 1), r AS (SELECT e.*, played FROM episodes e LEFT JOIN h ON h.episode_id = e.id)
 SELECT id, played IS NULL AS to_do, coalesce(bytes >= 1000000 AND starts_with(content_type, 'video') AND abs(played - duration) <= 2.0, false) AS stands, abs(played - duration) > 2.0 AS drifted,
   CAST(round(least(greatest(0.2::DOUBLE * duration, 1.0), greatest(duration - 1, 0.0)), 6) AS DOUBLE) AS thumbnail_at, CAST(floor(bytes / 3 / nullif(bytes, 0) * 100 + 0.5) AS BIGINT) AS percent, round(bytes / 3 / greatest(1.0::DOUBLE, coalesce(duration, 1)), 3) AS speed FROM r""",
-    "F24_parsed": "SELECT DISTINCT user_id, true AS as_stored FROM history",
+    "F24_parsed": f"{_P} SELECT user_id, CASE WHEN substr(md5(user_id), 1, 1) BETWEEN '0' AND '4' THEN 0 ELSE count(*) END AS n_read FROM e GROUP BY user_id",
 }

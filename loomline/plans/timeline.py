@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators import timeline as T
 from loomline.operators.intervals import milliseconds
+from loomline.operators.scan import counted
 from loomline.sources.tables import table
 
 _COLS = ["media_id", "seg_id", "seg_idx", "start_s", "end_s", "speaker_id"]
@@ -37,7 +38,7 @@ def _sentences(longest_ms: int | None):
 def _frames(spark: SparkSession, base: str) -> DataFrame:
     """Events of a user as frames, numbered by time, with speech where the value is above 30."""
     e = table(spark, base, "events", ["event_id", "user_id", "ts", "value"])
-    return e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("frame"), (F.col("value") > 30).alias("is_speech"))
+    return counted(e, "user_id", ["ts", "event_id"], "frame").select("user_id", "frame", (F.col("value") > 30).alias("is_speech"))
 
 
 def _windows(spark: SparkSession, base: str) -> DataFrame:
@@ -123,8 +124,7 @@ def _chain(spark: SparkSession, base: str) -> DataFrame:
 
 def _projection(spark: SparkSession, base: str) -> DataFrame:
     lines = table(spark, base, "segments", [*_COLS, "text", "translated_text"]).where("start_s IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s)")
-    n = F.row_number().over(Window.partitionBy("media_id").orderBy("start_s", "seg_idx", "seg_id"))
-    return lines.select("media_id", "seg_id", F.col("speaker_id").alias("speaker"), T.two_digits(F.col("start_s")).alias("start_at"), T.two_digits(F.col("end_s")).alias("end_at"), F.col("text").alias("original"), F.col("translated_text").alias("translated"), F.format_string("line-%03d.wav", n).alias("audio"))
+    return counted(lines, "media_id", ["start_s", "seg_idx", "seg_id"], "n").select("media_id", "seg_id", F.col("speaker_id").alias("speaker"), T.two_digits(F.col("start_s")).alias("start_at"), T.two_digits(F.col("end_s")).alias("end_at"), F.col("text").alias("original"), F.col("translated_text").alias("translated"), F.format_string("line-%03d.wav", "n").alias("audio"))
 
 
 def _stub(spark: SparkSession, base: str) -> DataFrame:

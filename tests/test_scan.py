@@ -2,11 +2,12 @@
 
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators.scan import carried, numbered, queued, runs, summed, with_next
+from loomline.operators.scan import carried, counted, medians, numbered, queued, runs, summed, with_next
 from loomline.session import clear, shared_dir, stored
 
 SCHEMA = "g string, k int, v string, d boolean, want long, n long, extra array<struct<a:int>>, run string"
@@ -110,3 +111,18 @@ def test_running_sums_cross_partitions(spark):
         total[g] = total.get(g, 0) + (v or 0)
         want[g, i] = total[g]
     assert got == want and summed(df.limit(0), "g", ["i"], F.col("v"), "total").count() == 0
+
+
+def test_places_and_medians_of_a_hot_group(spark, many_partitions):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "hot", "hot", "hot", "hot"]), i, rng.choice([None, 1.0, 2.5, 7.0, rng.random()])) for i in range(900)] + [("one", 900, 3.0), ("none", 901, None)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    places, want = {}, {}
+    for g, i, _ in rows:
+        want[i] = places[g] = places.get(g, 4) + 1
+    assert {r["i"]: r["n"] for r in counted(df, "g", ["i"], "n", first=5).collect()} == want
+    got = {r["g"]: (r["m"], r["n"]) for r in medians(df, ["g"], "v", "m").collect()}
+    for g in (None, "a", "hot", "one"):
+        values = [v for k, _, v in rows if k == g and v is not None]
+        assert got[g] == (pytest.approx(statistics.median(values)), len(values))
+    assert "none" not in got and medians(df.limit(0), ["g"], "v", "m").count() == 0

@@ -174,3 +174,19 @@ def test_speech_sessions(spark, tmp_path):
     f.write.parquet(str(tmp_path / "f"))
     got = run(spark, live.speech_sessions(spark.readStream.schema(f.schema).parquet(str(tmp_path / "f"))), "sessions", "complete", tmp_path / "s")
     assert sorted(r["n_frames"] for r in got.collect()) == [1, 3]
+
+
+def test_slots_for_who_speaks_and_what(spark):
+    r = X.stand_ins()
+    sound = [0.2] * 30 + [0.0] * 15 + [0.2] * 15
+    turns = spark.createDataFrame([("m", 1, "S", 1000, sound), ("m", 2, None, 0, []), (None, 3, "S", 0, None)], "media_id string, seg_id long, speaker_id string, start_ms long, samples array<double>")
+    assert [tuple(w) for w in X.transcribed(r, "lengths", turns, rate=250).orderBy("word_idx").collect()] == [("m", 1, "S", 0, "xx", 1000, 1120), ("m", 1, "S", 1, "x", 1180, 1240)]
+    r.add("transcriber", "named", lambda: lambda x, rate, names: [(n, 0, len(x)) for n in names])
+    assert [w["text"] for w in X.transcribed(r, "named", turns, rate=250, names=["Anna"]).collect()] == ["Anna"]
+    low, high = [0.3, 0.3] * 5, [0.3, -0.3] * 5
+    frames = spark.createDataFrame([("m", i, low if i < 3 else high) for i in range(6)] + [("n", 0, low)], "media_id string, frame long, samples array<double>")
+    got = [tuple(t) for t in X.diarized(r, "clustering", frames).orderBy("media_id", "start_ms").collect()]
+    assert got == [("m", 0.0, 3000.0, "SPEAKER_00"), ("m", 3000.0, 6000.0, "SPEAKER_01"), ("n", 0.0, 1000.0, "SPEAKER_00")]
+    assert [tuple(t) for t in X.diarized(r, "single", frames).orderBy("media_id").collect()] == [("m", 0.0, 6000.0, "SPEAKER_00"), ("n", 0.0, 1000.0, "SPEAKER_00")]
+    with pytest.raises(ValueError):
+        X.diarized(r, "none", frames)
