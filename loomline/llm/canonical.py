@@ -24,6 +24,10 @@ CYRILLIC = "АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԁԛԝ"
 CYRILLIC_AS_LATIN = "ABESIJKMHOPCTXYaesijopcxyhdqw"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXocj"
+ARMENIAN = "ՕՏՍօոսհցզյ"
+ARMENIAN_AS_LATIN = "OSUonuhgqj"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏞᏟᏢᏦᏙᏴᎥᏌᏕ"
+CHEROKEE_AS_LATIN = "DRTAJEWMHGZSLCPKVBiUS"
 # Kanji, hiragana and bopomofo that resemble katakana.
 KATAKANA_LIKE = "口力工夕卜八二千へべぺり"
 KATAKANA_AS = "ロカエタトハニチヘベペリ"
@@ -40,28 +44,50 @@ WIDE = "\uff01-\uff60\uff61-\uff9f\uffa1-\uffdc\uffe0-\uffee"
 LIGATURES = "\ufb00-\ufb06\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3"
 # Marks that combine, and letters that have a composed form other than themselves.
 MARKS = "\u0300-\u034e\u0350-\u036f\u0483-\u0487\u1161-\u11ff\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099-\u309c\ufe20-\ufe2f"
+# Letters and digits in other fonts, as mathematics and letter-like signs have them.
+FONTS = "\u2102\u210a-\u2113\u2115\u2119-\u211d\u2124\u2128\u212c\u212d\u212f-\u2131\u2133\u2134\u2139\u213c-\u2140\u2145-\u2149\U0001d400-\U0001d7ff"
 SINGLETONS = "\u0374\u037e\u0387\u1f71\u1f73\u1f75\u1f77\u1f79\u1f7b\u1f7d\u1fbe\u2126\u212a\u212b\uf900-\ufaff"
 
 _SIGN_MAP = str.maketrans({**dict.fromkeys(APOSTROPHES, "'"), **dict.fromkeys(QUOTES, '"'), **dict.fromkeys(DASHES, "-"), **{k: v for k, v in OTHER_SIGNS.items() if len(k) == 1}})
-_TO_LATIN = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN)
-_TO_CYRILLIC = {ord(latin): other for other, latin in zip(CYRILLIC, CYRILLIC_AS_LATIN)} | {ord(g): c for g, latin in zip(GREEK, GREEK_AS_LATIN) for c, as_latin in zip(CYRILLIC, CYRILLIC_AS_LATIN) if latin == as_latin}
-_TO_GREEK = {ord(latin): other for other, latin in zip(GREEK, GREEK_AS_LATIN)} | {ord(c): g for c, latin in zip(CYRILLIC, CYRILLIC_AS_LATIN) for g, as_latin in zip(GREEK, GREEK_AS_LATIN) if latin == as_latin}
+#: Scripts with look-alikes: the range of their letters, and the Latin letter that each look-alike resembles.
+_SCRIPTS = (
+    ("A-Za-zÀ-ɏḀ-ỿ", {}),
+    ("Ѐ-ԯ", dict(zip(CYRILLIC, CYRILLIC_AS_LATIN))),
+    ("\u0370-\u03ff\u1f00-\u1fff", dict(zip(GREEK, GREEK_AS_LATIN))),
+    ("\u0531-\u0587", dict(zip(ARMENIAN, ARMENIAN_AS_LATIN))),
+    ("\u13a0-\u13ff\uab70-\uabbf", dict(zip(CHEROKEE, CHEROKEE_AS_LATIN))),
+)
+_AS_LATIN = {c: latin for _, doubles in _SCRIPTS for c, latin in doubles.items()}
+#: Letters that say nothing of a word's script: the look-alikes, and the Latin letters that Cyrillic and Greek ones resemble. Those
+#: of the rarer scripts leave Latin letters their say.
+_SILENT = {*_AS_LATIN, *CYRILLIC_AS_LATIN, *GREEK_AS_LATIN}
+_DOUBLES = {*_AS_LATIN, *_AS_LATIN.values()}
+_RARE = {*ARMENIAN, *CHEROKEE}
+
+
+def _table(doubles: dict[str, str]) -> dict[int, str]:
+    """Every look-alike, and the Latin letter itself, as its form in a script; without a form there a letter of a rarer script is the Latin one, others stay."""
+    own = {latin: c for c, latin in reversed(doubles.items())}
+    latin = lambda c: _AS_LATIN.get(c, c)
+    return {ord(c): own.get(latin(c), latin(c) if c in _RARE or not doubles else c) for c in _DOUBLES if c not in doubles}
+
+
+_INTO = [_table(doubles) for _, doubles in _SCRIPTS]
 _TO_KANA, _FROM_KANA = str.maketrans(KATAKANA_LIKE, KATAKANA_AS), str.maketrans(KATAKANA_AS, KATAKANA_LIKE)
 _KANA_RUN = re.compile(f"[{KATAKANA_LIKE}{KATAKANA_AS}]+")
 _KATAKANA, _KANJI, _HIRAGANA = re.compile("[\u30a1-\u30ff]"), re.compile("[\u4e00-\u9fff]"), re.compile("[\u3041-\u309f]")
 _SIGNS = "".join(map(chr, _SIGN_MAP))
-_CLASS = INVISIBLE + SPACES + WIDE + LIGATURES + SINGLETONS + re.escape(_SIGNS)
+_CLASS = INVISIBLE + SPACES + WIDE + LIGATURES + FONTS + SINGLETONS + re.escape(_SIGNS)
 #: Places that aren't canonical: the character or marks, with a base to their left.
 _UNSTABLE = re.compile(f"[^\\s{MARKS}]?[{MARKS}]+|[{_CLASS}]")
-_LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
-_CYRILLIC = re.compile("[Ѐ-ԯ]")
-_GREEK = re.compile("[\u0370-\u03ff\u1f00-\u1fff]")
+_LETTER = [re.compile(f"[{letters}]") for letters, _ in _SCRIPTS]
+_OTHER = re.compile("[" + "".join(letters for letters, _ in _SCRIPTS[1:]) + "]")
 _WORD = re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{MARKS}])*(?:'[^\\W\\d_](?:[^\\W\\d_]|[{MARKS}])*)*")
 
 
 def _wide(c: str) -> str:
     kind = unicodedata.decomposition(c)
-    if kind.startswith(("<wide>", "<narrow>", "<compat>")) or not kind.startswith("<"):
+    if kind.startswith(("<wide>", "<narrow>", "<compat>", "<font>")) or not kind.startswith("<"):
         return unicodedata.normalize("NFKC", c)
     return c
 
@@ -82,20 +108,22 @@ def _splice(piece: str) -> str:
     return unicodedata.normalize("NFC", "".join(out)).translate(_SIGN_MAP)
 
 
-_INVISIBLE, _SPACE, _FORM = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{SPACES}]"), re.compile(f"[{WIDE}{LIGATURES}{SINGLETONS}]")
+_INVISIBLE, _SPACE, _FORM = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{SPACES}]"), re.compile(f"[{WIDE}{LIGATURES}{FONTS}{SINGLETONS}]")
 
 
 @lru_cache(maxsize=1 << 16)
-def _own_script(word: str) -> tuple[int, int, int]:
-    """Letters of a word that only Latin, Cyrillic or Greek has: no other script has one that looks so."""
-    latin = sum(1 for c in word if _LATIN.match(c) and ord(c) not in _TO_CYRILLIC and ord(c) not in _TO_GREEK)
-    cyrillic = sum(1 for c in word if _CYRILLIC.match(c) and ord(c) not in _TO_LATIN)
-    greek = sum(1 for c in word if _GREEK.match(c) and ord(c) not in _TO_LATIN)
-    return latin, cyrillic, greek
+def _own_script(word: str) -> tuple[int, ...]:
+    """Letters of a word that only Latin, Cyrillic and so on has: no other script has one that looks so."""
+    bases = [c for c in unicodedata.normalize("NFD", word) if c not in _SILENT]  # a letter with an accent is judged by its base
+    return tuple(sum(1 for c in bases if letter.match(c)) for letter in _LETTER)
 
 
+@lru_cache(maxsize=1 << 16)
 def _in_script(word: str, script: int) -> str:
-    return word.translate((_TO_LATIN, _TO_CYRILLIC, _TO_GREEK)[script])
+    """A word with its look-alikes in one script; the word itself where it has none of another."""
+    apart = unicodedata.normalize("NFD", word)
+    changed = apart.translate(_INTO[script])
+    return word if changed == apart else unicodedata.normalize("NFC", changed)
 
 
 def _settle_kana(m: re.Match) -> str:
@@ -124,20 +152,18 @@ def canonical(text: str | None) -> str | None:
         seen = unicodedata.normalize("NFC", seen)
     if any(c in seen for c in KATAKANA_LIKE):
         seen = _KANA_RUN.sub(_settle_kana, seen)
-    if not (_CYRILLIC.search(seen) or _GREEK.search(seen)):
+    if not _OTHER.search(seen):
         return seen
-    seen = unicodedata.normalize("NFD", seen)  # a letter with an accent is judged by its base
-    words = _WORD.findall(seen)
-    own = [_own_script(w) for w in words]
-    whole = tuple(map(sum, zip(*own))) if own else (1, 0, 0)
+    own = [_own_script(w) for w in _WORD.findall(seen)]
+    whole = tuple(map(sum, zip(*own))) if own else (1,)
     default = whole.index(max(whole))
 
     def settle(m: re.Match) -> str:
         mine = _own_script(m.group())
-        script = mine.index(max(mine)) if any(mine) else default
-        return _in_script(m.group(), script)
+        return _in_script(m.group(), mine.index(max(mine)) if any(mine) else default)
 
-    return unicodedata.normalize("NFC", _WORD.sub(settle, seen))
+    # word by word: a word of one script is spliced as it is
+    return _WORD.sub(settle, seen)
 
 
 _INVISIBLES = re.compile(f"[{INVISIBLE}]+")
@@ -150,11 +176,11 @@ def _java(chars: str) -> str:
 
 def quick_check(text: Column) -> Column:
     """True where a text may not be canonical: it must be normalised to know. Null for null."""
-    forms = text.rlike(f"[{_java(INVISIBLE + SPACES + WIDE + LIGATURES + SINGLETONS + MARKS + KATAKANA_LIKE)}{_java(_SIGNS)}]")
-    other = text.rlike("[\\x{370}-\\x{52f}\\x{1f00}-\\x{1fff}]")
+    forms = text.rlike(f"[{_java(INVISIBLE + SPACES + WIDE + LIGATURES + FONTS + SINGLETONS + MARKS + KATAKANA_LIKE)}{_java(_SIGNS)}]")
+    other = text.rlike("[\\x{370}-\\x{587}\\x{13a0}-\\x{13ff}\\x{1f00}-\\x{1fff}\\x{ab70}-\\x{abbf}]")
     # one script only, and a letter that no other script has: every word stays as it is
     doubled = CYRILLIC + "".join(c for c in map(chr, range(0x400, 0x530)) if unicodedata.normalize("NFD", c)[0] in CYRILLIC)
-    plain = ~text.rlike("[A-Za-z\\x{c0}-\\x{24f}\\x{1e00}-\\x{1eff}]") & ((text.rlike("[\\x{400}-\\x{52f}&&[^" + _java(doubled) + "]]") & ~text.rlike("[\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]")))
+    plain = ~text.rlike("[A-Za-z\\x{c0}-\\x{24f}\\x{1e00}-\\x{1eff}]") & ((text.rlike("[\\x{400}-\\x{52f}&&[^" + _java(doubled) + "]]") & ~text.rlike("[\\x{370}-\\x{3ff}\\x{531}-\\x{587}\\x{13a0}-\\x{13ff}\\x{1f00}-\\x{1fff}\\x{ab70}-\\x{abbf}]")))
     return forms | (other & ~plain)
 
 

@@ -7,7 +7,6 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import canonical as C
 from loomline.llm.canonical import canonical_column, equal_looking_pairs
 from loomline.llm.languages import fit_on, label_languages
 from loomline.llm.mixing import Mix
@@ -166,23 +165,29 @@ def _quote(text: str) -> str:
     return text.replace("'", "''")
 
 
+# Fixed values of the SQL alone, so that it is a check of the operator's tables: look-alikes and the letters they resemble, signs and what they stand for.
+_LIKE = "АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ口力工夕卜八二千へべぺり"
+_AS = "ABESIJKMHOPCTXYaesijopcxyhdqwABEZHIKMNOPTYXocjロカエタトハニチヘベペリ"
+_MARKS = {"'": "‘’‚‛ʻʼʽʹˈ′‵`´՚ꞌ׳ʿʾ", '"': "“”„‟″‶〃״ʺ", "-": "‐‑‒–—―−﹘﹣⁃˗", ":": "∶꞉ː", "/": "⁄∕", "~": "∼˜", "<": "‹", ">": "›", ".": "․", "!": "ǃ"}
+_UNSEEN_RANGES = "\\x{ad}\\x{34f}\\x{61c}\\x{180b}-\\x{180f}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{206f}\\x{fe00}-\\x{fe0f}\\x{feff}"
+_BLANK_RANGES = "\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}"
+
+
 def _skeleton(x: str) -> str:
     """What a text looks like, in SQL: every look-alike in one script, whatever the text's own."""
     width = "".join(map(chr, range(0xFF01, 0xFF5F)))
     kana = "".join(map(chr, range(0xFF61, 0xFFA0)))
     full = "".join(unicodedata.normalize("NFKC", c) for c in kana)
-    ligatures = "".join(map(chr, range(0xFB00, 0xFB07)))
-    classes = lambda chars: "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in chars)
-    x = f"regexp_replace({x}, '[{classes(C.INVISIBLE)}]', '', 'g')"
-    x = f"regexp_replace({x}, '[{classes(C.SPACES)}]', ' ', 'g')"
-    for c in ligatures:
+    x = f"regexp_replace({x}, '[{_UNSEEN_RANGES}]', '', 'g')"
+    x = f"regexp_replace({x}, '[{_BLANK_RANGES}]', ' ', 'g')"
+    for c in map(chr, range(0xFB00, 0xFB07)):
         x = f"replace({x}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
     x = f"translate({x}, '{_quote(width + kana)}', '{_quote(''.join(chr(ord(c) - 0xFEE0) for c in width) + full)}')"
-    for signs, plain in ((C.APOSTROPHES, "'"), (C.QUOTES, '"'), (C.DASHES, "-")):
+    for plain, signs in _MARKS.items():
         x = f"translate({x}, '{_quote(signs)}', '{_quote(plain * len(signs))}')"
-    for sign, plain in C.OTHER_SIGNS.items():
+    for sign, plain in (("…", "..."), ("⋯", "..."), ("‥", "..")):
         x = f"replace({x}, '{sign}', '{plain}')"
-    return f"translate(nfc_normalize({x}), '{C.CYRILLIC + C.GREEK + C.KATAKANA_LIKE}', '{C.CYRILLIC_AS_LATIN + C.GREEK_AS_LATIN + C.KATAKANA_AS}')"
+    return f"translate(nfc_normalize({x}), '{_LIKE}', '{_AS}')"
 
 
 def _named(x: str) -> str:
