@@ -48,18 +48,26 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return p2_turns(spark, base).select("media_id", "turn_no", "speaker_id", "from_ms", "to_ms", "n_words")
 
 
-def _pieces(spark: SparkSession, base: str) -> DataFrame:
-    return split_rows(spread(table(spark, base, "segments", ["seg_id", "text", "words"])), "seg_id", "text", "words", limit=280, overlap=5)
+def _line_limit(spark: SparkSession, base: str) -> tuple[int, int]:
+    """Most characters of a piece of a line, and words of overlap, that size_limits names: one row."""
+    named = table(spark, base, "size_limits").where("applies_to = 'segments' AND unit = 'characters'").select("max_size", "overlap").orderBy("max_size").first()
+    return (named["max_size"], named["overlap"] or 0) if named else (280, 5)
+
+
+def _pieces(spark: SparkSession, base: str, limit: int, overlap: int) -> DataFrame:
+    return split_rows(spread(table(spark, base, "segments", ["seg_id", "text", "words"])), "seg_id", "text", "words", limit=limit, overlap=overlap)
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Lines that had to be split, and whether their sentences allow it."""
-    return _pieces(spark, base).where("size > 280").select("seg_id", "breakable").distinct()
+    limit, overlap = _line_limit(spark, base)
+    # every such line has one first piece
+    return _pieces(spark, base, limit, overlap).where((F.col("size") > limit) & (F.col("piece") == 1)).select("seg_id", "breakable").distinct()
 
 
 def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
-    """Every line in pieces of at most 280 characters."""
-    return _pieces(spark, base)
+    """Every line in pieces of at most as many characters as its limit."""
+    return _pieces(spark, base, *_line_limit(spark, base))
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
