@@ -415,7 +415,7 @@ def _wordless(model: Model, text: str) -> bool:
     return none_of(units(text[:400])[:-1]) and none_of(units(text))
 
 
-def sample(df: DataFrame, id: str, text: str, label: str, rows: int = 12_000, shortest: int = 20, longest: int = 2_000) -> tuple[list[str], list[str]]:
+def sample(df: DataFrame, id: str, text: str, label: str, rows: int = 12_000, shortest: int = 20, longest: int = 600) -> tuple[list[str], list[str]]:
     """Labelled rows to fit on: at most ``rows`` of those with ``shortest`` to ``longest`` characters, taken by a hash of the id. The one bounded sample here."""
     t, code = F.col(f"`{text}`"), label_column(F.col(f"`{label}`"))
     named = df.select(F.col(f"`{id}`").alias("id"), t.alias("text"), code.alias("label"), F.xxhash64(F.col(f"`{id}`")).alias("u")).where(F.col("label").isNotNull() & F.length("text").between(shortest, longest))
