@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from loomline.operators.intervals import milliseconds, periods_and_gaps
 from loomline.operators.joins import nearest, overlapping, stab
-from loomline.operators.scan import queued, runs, with_next
+from loomline.operators.scan import counted, queued, runs, with_next
+from loomline.session import stored
 
 ORDER = ("start_ms", "seg_idx", "seg_id")
 DEFAULT_SPEAKER = "SPEAKER_00"
@@ -39,10 +40,14 @@ def speaker_at(points: DataFrame, at: str, id: str, turns: DataFrame) -> DataFra
     """
     key = ["media_id"]
     held = stab(points.select("media_id", id, at), at, turns, "turn_start", "turn_end", key)
-    first = held.groupBy("media_id", id).agg(F.min_by("turn_speaker", F.struct("turn_start", "turn_order")).alias("_held"))
+    first = stored(held.groupBy("media_id", id).agg(F.min_by("turn_speaker", F.struct("turn_start", "turn_order")).alias("_held")))
+    # only what no turn holds looks for the nearest one
+    free = points.join(first, ["media_id", id], "left_anti")
     bounds = turns.select("media_id", "turn_speaker", "turn_start", "turn_order", F.explode(F.array("turn_start", "turn_end")).alias("_bound"))
-    near = nearest(points, at, bounds, "_bound", key, ["turn_start", "turn_order"], F.col("turn_speaker"), "_near")
-    return near.join(first, ["media_id", id], "left").withColumn("speaker", F.coalesce("_held", "_near", F.lit(DEFAULT_SPEAKER))).drop("_held", "_near", "_near_distance", "_near_order")
+    near = nearest(free, at, bounds, "_bound", key, ["turn_start", "turn_order"], F.col("turn_speaker"), "_near")
+    out = [*points.columns, "speaker"]
+    of_turns = points.join(first, ["media_id", id]).withColumn("speaker", F.coalesce("_held", F.lit(DEFAULT_SPEAKER))).select(*out)
+    return of_turns.unionByName(near.withColumn("speaker", F.coalesce("_near", F.lit(DEFAULT_SPEAKER))).select(*out))
 
 
 def words_of(segments: DataFrame) -> DataFrame:
@@ -108,7 +113,9 @@ def sentences(words: DataFrame, longest_ms: int | None = 12_000, pause_ms: int =
     chunks = sized.select("media_id", "_run", "w", F.posexplode(begin).alias("_part", "_c"))
     part = F.slice(F.col("w"), F.col("_c.at") + 1, F.col("_c.n"))
     rows = chunks.withColumn("w", part).select("media_id", "_run", "_part", F.col("w")[0]["word_start"].alias("start_ms"), F.element_at("w", -1)["word_end"].alias("end_ms"), F.col("w")[0]["speaker_id"].alias("speaker_id"), F.trim(F.array_join(F.col("w.word_text"), " ")).alias("text"), F.size("w").alias("n_words"))
-    return runs(rows, "media_id", ["_run", "_part"], F.concat_ws("-", "_run", "_part"), name="sentence").drop("_run", "_part")
+    if longest_ms is None:  # runs are numbered already
+        return rows.withColumnRenamed("_run", "sentence").drop("_part")
+    return counted(rows, "media_id", ["_run", "_part"], "sentence").drop("_run", "_part")
 
 
 def runs_of(frames: DataFrame, by: str, frame: str, flag: Column) -> DataFrame:

@@ -272,3 +272,20 @@ SELECT media_id, seg_id, speaker_id AS speaker, CAST(printf('%.2f', start_s) AS
   printf('line-%03d.wav', row_number() OVER (PARTITION BY media_id ORDER BY start_s, seg_idx, seg_id)) AS audio
 FROM segments WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND NOT isnan(start_s) AND NOT isnan(end_s)""",
 }
+#: The fold of a run of words that is too long, word by word: where the next part begins, and the last word that was looked at.
+_PARTS = """,
+x0 AS (SELECT *, row_number() OVER (PARTITION BY media_id, run ORDER BY seg_start, seg_idx, seg_id, i) - 1 AS k FROM g),
+x1 AS (SELECT media_id, run, k, ws, we, txt, speaker_id, ends, max(k) OVER (PARTITION BY media_id, run) AS last, ws - lag(we) OVER (PARTITION BY media_id, run ORDER BY k) AS gap FROM x0),
+c AS (
+  SELECT DISTINCT media_id, run, CAST(0 AS BIGINT) AS first, CAST(-1 AS BIGINT) AS seen FROM x1
+  UNION ALL
+  SELECT h.media_id, h.run, h.first + greatest(1, coalesce(arg_max(n.k - h.first, n.gap * 1000000 + n.k) FILTER (n.k > h.first AND n.gap >= 150), min(n.k - h.first) FILTER (n.we - h.from_ws >= 12000))) AS first, h.stop AS seen
+  FROM (SELECT c.media_id, c.run, c.first, s.ws AS from_ws, min(w.k) AS stop FROM c JOIN x1 s ON s.media_id = c.media_id AND s.run = c.run AND s.k = c.first
+        JOIN x1 w ON w.media_id = c.media_id AND w.run = c.run AND w.k > c.seen AND w.k >= c.first AND w.we - s.ws > 12000 AND NOT (w.ends AND w.k = w.last) GROUP BY 1, 2, 3, 4) h
+  JOIN x1 n ON n.media_id = h.media_id AND n.run = h.run AND n.k >= h.first AND n.k <= h.stop GROUP BY h.media_id, h.run, h.first, h.stop),
+b AS (SELECT DISTINCT media_id, run, first FROM c),
+p AS (SELECT x1.*, max(b.first) AS part FROM x1 JOIN b ON b.media_id = x1.media_id AND b.run = x1.run AND b.first <= x1.k GROUP BY ALL)
+SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY run, part) AS INT) AS sentence, first(ws ORDER BY k) AS start_ms, last(we ORDER BY k) AS end_ms, first(speaker_id ORDER BY k) AS speaker_id,
+  trim(string_agg(txt, ' ' ORDER BY k)) AS text, CAST(count(*) AS INT) AS n_words FROM p GROUP BY media_id, run, part"""
+_RUNS = SQL["B3_sentences"]
+SQL["B3_B4_sentences_forced"] = _RUNS[: _RUNS.index("\nSELECT media_id, CAST(run AS INT)")].replace("WITH t", "WITH RECURSIVE t") + _PARTS

@@ -87,3 +87,14 @@ SELECT voice_id, 'take ' || CASE WHEN ns > score THEN query_id ELSE voice_id END
     "E5_allotted": _TOP.format("v", "q", "true") + f""", n AS (SELECT vec_id FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = v.vec_id AND rn = 1 AND s >= {_CLOSE}))
 SELECT vec_id, 'speaker_' || printf('%03d', row_number() OVER (ORDER BY vec_id) + (SELECT max(vec_id // 100 + 1) FROM q)) AS voice_id FROM n""",
 }
+# a run's candidates in order, each with the entries that those before it took
+SQL["E4_claimed"] = _TOP.format("v", "q", "true").replace("WITH v", "WITH RECURSIVE v") + """,
+k AS (SELECT vec_id AS id, vec_id // 12 AS run, row_number() OVER (PARTITION BY vec_id // 12 ORDER BY vec_id) AS pos FROM v),
+c AS (SELECT query_id, entry_id, rn FROM r WHERE rn <= 13 AND s >= 0.1),
+f AS (
+  SELECT DISTINCT run, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS entry_id FROM k
+  UNION ALL
+  SELECT run, n + 1, CASE WHEN e IS NULL THEN taken ELSE list_append(taken, e) END, id, e FROM (
+    SELECT f.run, f.n, f.taken, k.id, arg_min(c.entry_id, c.rn) FILTER (NOT list_contains(f.taken, c.entry_id)) AS e
+    FROM f JOIN k ON k.run = f.run AND k.pos = f.n + 1 LEFT JOIN c ON c.query_id = k.id GROUP BY f.run, f.n, f.taken, k.id))
+SELECT run, id, entry_id FROM f WHERE n > 0"""
