@@ -57,7 +57,7 @@ _BARE_TIME = re.compile(rf"(?<![\d:])(?:{_TIME})(?![\d:])")
 _BRACKET_TIME = re.compile(r"[\[({<]\s*(\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?)\s*[\])}>]")
 _NUMBER = re.compile(r"^\W*(?:speaker|spk|sp|s)[\s._#-]*(\d{1,4})\W*$", re.I)
 _VOICE = re.compile(r"<v(?:\.[^\s>]*)?\s+([^>]+)>", re.I)
-_BRACKETED = re.compile(r"\(\(([^()]*)\)\)|\[([^\[\]]*)\]|\(([^()]*)\)|\{([^{}]*)\}|\*([^*\n]+)\*|<([^<>]*)>|【([^】]*)】|（([^）]*)）")
+_BRACKETED = re.compile(r"\(\(([^()]*)\)\)|\[([^\[\]]*)\]|\(([^()]*)\)|\{([^{}]*)\}|\*([^*\n]+(?:\n[^*\n]+)?)\*|<([^<>]*)>|【([^】]*)】|（([^）]*)）")
 _NAME = r"[^\W\d_][\w'’.-]*(?: [^\W\d_][\w'’.-]*){0,2}"
 #: A label with a colon, at the start of a line or behind a dash, chevrons or a sentence.
 _COLON = re.compile(rf"(?:(?<=\s)|^)(?P<lead>(?:>>+\s*|[-–—]\s+)*)(?P<name>(?:speaker|spk|sp|s)[\s._#-]*\d{{1,4}}|{_NAME})(?P<os>\s*\((?:O\.?S\.?|V\.?O\.?|off)\))?\s?(?::|：)(?!\d)", re.I)

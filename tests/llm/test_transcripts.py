@@ -27,7 +27,7 @@ def test_times_in_the_text():
     ("[00:02:40.915] ♪♪ Hello {Crosstalk} there at 9:06.", [(None, "Hello there at 9:06.")]),
     ("<v Anna>(1:05) Uh... um, Not now.", [(1, "Not now.")]),
     ("Anna (O.S.): <i>Go.</i>", [(1, "Go.")]), ("ANNA: Listen: go", [(1, "Listen: go")]), ("[Anna] go", [(1, "go")]), ("(ANNA) {\\an8}go", [(1, "go")]), ("- Anna : go", [(1, "go")]), ("[Spk 2] go", [(2, "go")]), ("speaker 0 - go", [(0, "go")]),
-    ("We left. >> ANNA: And then?", [(None, "We left."), (1, "And then?")]), ("*laughs*", []), ("♪♪", []), ("[music] (hmm) ...", []), ("Nobody: go", [(None, "Nobody: go")]),
+    ("We left. >> ANNA: And then?", [(None, "We left."), (1, "And then?")]), ("*laughs*", []), ("*door\nslams* Go.", [(None, "Go.")]), ("2 * 3 is six", [(None, "2 * 3 is six")]), ("♪♪", []), ("[music] (hmm) ...", []), ("Nobody: go", [(None, "Nobody: go")]),
 ])
 def test_parts(text, want):
     assert [(n, said) for n, _, said in parts(text, {"anna": 1}, "en")] == want
