@@ -11,6 +11,7 @@ from loomline.operators import signals as G
 from loomline.operators import timeline as T
 from loomline.operators.scan import counted
 from loomline.plans.text import GLOSSARY
+from loomline.session import stored
 from loomline.sources.tables import table
 
 
@@ -91,7 +92,8 @@ def _dataflow(spark: SparkSession, base: str) -> DataFrame:
     plan = T.plan_speeds(timed, "natural", "track_end")
     level = F.least(F.lit(0.3), F.length("translated") / 1000)
     planned = plan.withColumn("level", level)
-    return G.targets(planned).select("media_id", "seg_id", "translated", F.round("planned_start", 6).alias("planned_start"), F.round("speed", 6).alias("speed"), F.round("intensity_db", 6).alias("intensity_db"))
+    # the medians of the levels read the plan several times
+    return G.targets(stored(planned)).select("media_id", "seg_id", "translated", F.round("planned_start", 6).alias("planned_start"), F.round("speed", 6).alias("speed"), F.round("intensity_db", 6).alias("intensity_db"))
 
 
 QUERIES = {

@@ -43,12 +43,12 @@ def _levels(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, base: str) -> DataFrame:
-    rows = S.targets(_lines(spark, base))
+    rows = S.targets(stored(_lines(spark, base)))
     return _rounded(rows.select("media_id", "line", "target", "intensity_db", "effort_db"), "target", "intensity_db", "effort_db", digits=6)
 
 
 def _gains(spark: SparkSession, base: str) -> DataFrame:
-    rows = S.deliveries(_lines(spark, base))
+    rows = S.deliveries(stored(_lines(spark, base)))
     return rows.select("media_id", "line", "delivery", F.round(S.preset_gain(F.col("level"), F.col("delivery")), 6).alias("gain"))
 
 
